@@ -7,6 +7,8 @@ from importlib import import_module
 #: query -> module of this subpackage that defines it
 _MODULES = {
     "p7_ids": "tokens",
+    "p8_found": "leakage",
+    "p8_leaks": "leakage",
     "p9_pieces": "splitting",
 }
 
