@@ -6,6 +6,8 @@ from importlib import import_module
 
 #: query -> module of this subpackage that defines it
 _MODULES = {
+    "p5_found": "neardup",
+    "p5_groups": "neardup",
     "p7_ids": "tokens",
     "p8_found": "leakage",
     "p8_leaks": "leakage",
