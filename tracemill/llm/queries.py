@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: query -> module of this subpackage that defines it
 _MODULES = {
+    "p3_found": "defects",
     "p5_found": "neardup",
     "p5_groups": "neardup",
     "p7_ids": "tokens",
