@@ -7,6 +7,8 @@ from importlib import import_module
 #: query -> module of this subpackage that defines it
 _MODULES = {
     "p3_found": "defects",
+    "p4_found": "truncation",
+    "p4_rates": "truncation",
     "p5_found": "neardup",
     "p5_groups": "neardup",
     "p7_ids": "tokens",
