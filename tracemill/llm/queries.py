@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: query -> module of this subpackage that defines it
 _MODULES = {
+    "p2_found": "canonical",
     "p3_found": "defects",
     "p4_found": "truncation",
     "p4_rates": "truncation",
