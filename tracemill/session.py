@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,3 +29,24 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and stored in the checkpoint folder, so that later stages survive the loss of executors."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Sends this package to the Python workers, once per application, so that they need no path of the driver's."""
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        root = os.path.dirname(os.path.abspath(__file__))
+        folder = tempfile.mkdtemp(prefix="tracemill-")
+        path = os.path.join(folder, "tracemill.zip")
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+            for at, _, names in os.walk(root):
+                for name in names:
+                    if name.endswith(".py"):
+                        full = os.path.join(at, name)
+                        out.write(full, os.path.relpath(full, os.path.dirname(root)))
+        context.addPyFile(path)
+        _SHIPPED.add(context.applicationId)
+    return spark
