@@ -6,6 +6,8 @@ from importlib import import_module
 
 #: query -> module of this subpackage that defines it
 _MODULES = {
+    "p1_found": "bundles",
+    "p1_bundles": "bundles",
     "p2_found": "canonical",
     "p3_found": "defects",
     "p4_found": "truncation",
