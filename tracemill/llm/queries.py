@@ -14,6 +14,8 @@ _MODULES = {
     "p4_rates": "truncation",
     "p5_found": "neardup",
     "p5_groups": "neardup",
+    "p6_found": "repetition",
+    "p6_shares": "repetition",
     "p7_ids": "tokens",
     "p8_found": "leakage",
     "p8_leaks": "leakage",
