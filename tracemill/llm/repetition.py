@@ -32,7 +32,7 @@ LEAST_WORDS, RUN, LIMIT = 20, 5, 0.3
 LEAST_GROUP, STEPS, SAFE_CENTRE = 60, 4, 0.1
 #: The 0.975 quantile of chi-squared with four degrees of freedom, and the least standard deviations of the statistics.
 QUANTILE = 11.143
-FLOORS = (0.01, 0.03, 0.02, 0.05)
+FLOORS = (0.03, 0.1, 0.06, 0.12)
 NAMES = ("runs", "pairs", "sentences", "variety")
 _SENTENCE = re.compile(r"[.!?。！？\n]+")
 
