@@ -50,3 +50,8 @@ def ship(spark: SparkSession) -> SparkSession:
         context.addPyFile(path)
         _SHIPPED.add(context.applicationId)
     return spark
+
+
+def records(df: DataFrame, key: str, *columns: str) -> DataFrame:
+    """One row per key of a table with re-deliveries, with the named columns only; repeated keys have the same content."""
+    return df.select(key, *columns).dropDuplicates([key])
