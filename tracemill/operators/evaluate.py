@@ -66,15 +66,21 @@ def ngram_repetition(df: DataFrame, key: str, text: Column, n: int = 10) -> Data
     """(key, n_grams, ratio): distinct n-grams that occur more than once over all n-grams, 0 for short texts."""
     from tracemill.functions.text import tokens
 
-    words = df.select(key, tokens(text).alias("w"))
-    last = F.size("w") - n
-    grams = F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(F.array_join(F.slice(F.col("w"), i + 1, n), " "))))
-    counted = words.select(key, F.coalesce(grams, F.array().cast("array<bigint>")).alias("g"))
-    # sorted, equal n-grams are neighbours: those equal to the one before but not to the one before that start a repetition
-    ordered = F.array_sort("g")
-    again = F.filter(F.sequence(F.lit(1), F.greatest(F.size("g") - 1, F.lit(1))), lambda i: (F.get("s", i) == F.get("s", i - 1)) & ((i == 1) | (F.get("s", i - 1) != F.get("s", F.greatest(i - 2, F.lit(0))))))
-    sorted_ = counted.select(key, "g", ordered.alias("s")).select(key, F.size("g").alias("n_grams"), F.when(F.size("g") > 1, F.size(again)).otherwise(0).alias("r"))
-    return sorted_.select(key, "n_grams", F.round(F.when(F.col("n_grams") > 0, F.col("r") / F.when(F.col("n_grams") > 0, F.col("n_grams"))).otherwise(0.0), 6).alias("ratio"))
+    def ratio(words: Column) -> Column:
+        grams = F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.xxhash64(F.array_join(F.slice(words, i + 1, n), " ")))
+        # sorted, equal n-grams are neighbours: one pass counts those that equal the one before, each run once
+        start = F.struct(F.lit(None).cast("bigint").alias("last"), F.lit(False).alias("counted"), F.lit(0).alias("r"))
+
+        def step(acc: Column, g: Column) -> Column:
+            same = F.coalesce(g == acc["last"], F.lit(False))
+            return F.struct(g.alias("last"), same.alias("counted"), (acc["r"] + F.when(same & ~acc["counted"], 1).otherwise(0)).alias("r"))
+
+        repeated = F.aggregate(F.array_sort(grams), start, step)["r"]
+        return F.struct(F.greatest(F.lit(0), F.size(words) - n + 1).alias("n"), F.when(F.size(words) >= n, repeated).otherwise(0).alias("r"))
+
+    # the words are a lambda's variable, or every n-gram would split the text anew
+    found = df.select(key, F.get(F.transform(F.array(tokens(text)), ratio), F.lit(0)).alias("x"))
+    return found.select(key, F.col("x.n").alias("n_grams"), F.round(F.when(F.col("x.n") > 0, F.col("x.r") / F.when(F.col("x.n") > 0, F.col("x.n"))).otherwise(0.0), 6).alias("ratio"))
 
 
 def bleu4(df: DataFrame, key: str, candidate: Column, reference: Column) -> DataFrame:

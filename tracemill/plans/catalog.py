@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
+from tracemill.plans.registry import QUERIES, SQL
+
+_MODULES = ("traces",)
+for _name in _MODULES:
+    import_module(f"tracemill.plans.{_name}")
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
