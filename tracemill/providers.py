@@ -74,7 +74,7 @@ def with_retries(provider: Callable[[list[str]], list], valid: Callable[[object]
 def apply_provider(df: DataFrame, column: str, provider: Provider, result: str, result_type: str, tasks: int | None = None) -> DataFrame:
     """Adds ``result``: the provider's value of ``column``, computed once per different value; null stays null."""
     wanted = df.select(F.col(column).alias("__in")).where("__in IS NOT NULL").distinct()
-    wanted = wanted.repartition(tasks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "__in")
+    wanted = wanted.repartition(tasks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("__in"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
