@@ -13,6 +13,11 @@ from tracemill.functions.text import SPACE, occurrences, strip, to_double
 TRIGGERS = ("Final answer:", "Final Answer:", "答案:")
 
 
+def last_piece(text: Column, mark: Column) -> Column:
+    """What follows the last occurrence of a mark that may differ by row."""
+    return F.call_function("substring_index", text, mark, F.lit(-1))
+
+
 def parse_final_answer(text: Column) -> Column:
     """struct<rationale, answer>: the text split at its last trigger, null unless it is well formed.
 
@@ -20,8 +25,8 @@ def parse_final_answer(text: Column) -> Column:
     """
     trigger = F.coalesce(*(F.when(F.contains(text, F.lit(t)), F.lit(t)) for t in TRIGGERS))
     count = reduce(lambda rest, t: F.when(trigger == t, occurrences(text, t)).otherwise(rest), TRIGGERS, F.lit(0))
-    answer = strip(F.substring_index(text, trigger, -1))
-    rationale = strip(F.substring(text, F.lit(1), F.length(text) - F.length(F.substring_index(text, trigger, -1)) - F.length(trigger)))
+    answer = strip(last_piece(text, trigger))
+    rationale = strip(F.substring(text, F.lit(1), F.length(text) - F.length(last_piece(text, trigger)) - F.length(trigger)))
     good = trigger.isNotNull() & (count <= 2) & (occurrences(text, "\n") >= 2) & (rationale != "") & ~F.contains(answer, F.lit("\n"))
     return F.when(good, F.struct(rationale.alias("rationale"), answer.alias("answer")))
 
@@ -143,7 +148,7 @@ def fix_answer(response: Column, predicted: Column, gold: Column) -> Column:
     p, g = F.lower(predicted), F.lower(gold)
     bare = lambda x: F.replace(F.regexp_replace(x, r"^\.+|\.+$", ""), F.lit(","), F.lit(""))
     holds = F.contains(p, g) | F.contains(bare(p), bare(g))
-    tail = F.substring_index(response, predicted, -1)
+    tail = last_piece(response, predicted)
     head = F.substring(response, F.lit(1), F.length(response) - F.length(tail) - F.length(predicted))
     fixed = strip(F.regexp_replace(strip(F.concat(head, gold, tail)), r"^\*+|\*+$", ""))
     whole = F.when(holds & (predicted != "") & F.contains(response, predicted), fixed).otherwise(response)
@@ -188,12 +193,12 @@ def evalai_normalize(text: Column) -> Column:
 
     def drop(out: Column, sign: str) -> Column:
         beside = F.contains(t, F.lit(sign + " ")) | F.contains(t, F.lit(" " + sign)) | grouped
-        return F.when(beside, F.replace(out, F.lit(sign), F.lit(""))).otherwise(F.replace(out, F.lit(sign), F.lit(" ")))
+        # the text so far occurs once, or the expression would double with every sign
+        return F.replace(out, F.lit(sign), F.when(beside, F.lit("")).otherwise(F.lit(" ")))
 
     out = reduce(drop, SIGNS, t)
     out = F.regexp_replace(out, r"\.(?!\d)", "")
     words = F.filter(F.split(F.lower(out), rf"{SPACE}+"), lambda w: (w != "") & ~w.isin(*ARTICLES))
     table = F.create_map(*(F.lit(x) for kv in (NUMBER_WORDS | CONTRACTIONS).items() for x in kv))
     spelt = F.transform(words, lambda w: F.coalesce(F.try_element_at(table, w), w))
-    # 'a' that a number word cannot become: articles are tested after the numbers, and none of those is one
     return F.array_join(spelt, " ")

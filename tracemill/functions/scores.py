@@ -121,13 +121,14 @@ def answer_reward(reasoning: Column, answer: Column) -> Column:
 
 
 def normalize_score(score: Column) -> Column:
-    """A raw score of 1 to 10 as 0 to 1."""
-    return (F.least(F.lit(10.0), F.greatest(F.lit(1.0), score.cast("double"))) - 1) / 9
+    """A raw score of 1 to 10 as 0 to 1; null stays null (``least`` and ``greatest`` alone would skip it)."""
+    return F.when(score.isNotNull(), (F.least(F.lit(10.0), F.greatest(F.lit(1.0), score.cast("double"))) - 1) / 9)
 
 
 def coerce_score(value: Column) -> Column:
     """The nearest whole score of 1 to 10 (halves to even), 5 for what is no number."""
-    return F.coalesce(F.least(F.lit(10), F.greatest(F.lit(1), F.bround(to_double(value.cast("string")), 0).cast("int"))), F.lit(5))
+    whole = F.coalesce(F.bround(to_double(value.cast("string")), 0).cast("int"), F.lit(5))
+    return F.least(F.lit(10), F.greatest(F.lit(1), whole))
 
 
 def _gaps(ideal: Column, vector: Column) -> Column:
@@ -193,7 +194,7 @@ def judge_scores(text: Column, dimensions: tuple[str, ...] = DIMENSIONS) -> Colu
 
     scored = F.arrays_zip(F.transform(names, dimension).alias("d"), values.alias("v"))
     clip = lambda v: F.least(F.lit(10.0), F.greatest(F.lit(1.0), v))
-    return F.array(*(F.coalesce(clip(F.element_at(F.concat(F.array(F.lit(None).cast("double")), F.transform(F.filter(scored, lambda e: e["d"] == i), lambda e: e["v"])), -1)), F.lit(5.0)) for i in range(len(dimensions))))
+    return F.array(*(clip(F.coalesce(F.element_at(F.concat(F.array(F.lit(None).cast("double")), F.transform(F.filter(scored, lambda e: e["d"] == i), lambda e: e["v"])), -1), F.lit(5.0))) for i in range(len(dimensions))))
 
 
 def loss_weight(length: Column, kind: str = "square") -> Column:

@@ -18,10 +18,12 @@ def accuracy(df: DataFrame, score: Column, answered: Column | None = None) -> Da
 def accuracy_by_facet(df: DataFrame, facets: list[str], score: Column) -> DataFrame:
     """(facet, value, n, acc) for each value of each facet; an array facet counts in each of its values. One pass over the rows."""
     kinds = dict(df.dtypes)
-    entries = []
-    for f in facets:
+
+    def entry(f: str) -> Column:
         values = F.col(f) if kinds[f].startswith("array") else F.array(F.col(f))
-        entries.append(F.transform(values, lambda v, f=f: F.struct(F.lit(f).alias("facet"), v.cast("string").alias("value"))))
+        return F.transform(values, lambda v: F.struct(F.lit(f).alias("facet"), v.cast("string").alias("value")))
+
+    entries = [entry(f) for f in facets]
     exploded = df.select(score.cast("double").alias("score"), F.explode(F.concat(*(F.coalesce(e, F.array().cast("array<struct<facet:string,value:string>>")) for e in entries))).alias("e"))
     return exploded.groupBy("e.facet", "e.value").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("acc"))
 
@@ -91,12 +93,21 @@ def bleu4(df: DataFrame, key: str, candidate: Column, reference: Column) -> Data
         last = F.size(words) - n
         return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.array_join(F.slice(words, i + 1, n), " "))).otherwise(F.array().cast("array<string>"))
 
-    c, r = tokens(F.lower(candidate)), tokens(F.lower(reference))
-    logs = F.lit(0.0)
-    for n in range(1, 5):
-        cg, rg = grams(c, n), grams(r, n)
-        count = lambda xs, x: F.size(F.filter(xs, lambda y: y == x))
-        clipped = F.aggregate(F.array_distinct(cg), F.lit(0), lambda a, x, cg=cg, rg=rg: a + F.least(count(cg, x), count(rg, x)))
-        logs = logs + F.when(clipped > 0, F.ln(clipped / F.size(cg))) / 4
-    brevity = F.when(F.size(c) >= F.size(r), 0.0).otherwise(1 - F.size(r) / F.size(c))
-    return df.select(key, F.coalesce(F.exp(logs + brevity), F.lit(0.0)).alias("bleu"))
+    def precision(c: Column, r: Column, n: int) -> Column:
+        # the n-grams are a lambda's variables, so that each list is made once
+        def clipped(both: Column) -> Column:
+            count = lambda xs, x: F.size(F.filter(xs, lambda y: y == x))
+            hits = F.aggregate(F.array_distinct(both["c"]), F.lit(0), lambda a, x: a + F.least(count(both["c"], x), count(both["r"], x)))
+            return F.when(F.size(both["c"]) > 0, hits / F.when(F.size(both["c"]) > 0, F.size(both["c"]))).otherwise(0.0)
+
+        return F.get(F.transform(F.array(F.struct(grams(c, n).alias("c"), grams(r, n).alias("r"))), clipped), F.lit(0))
+
+    def score(words: Column) -> Column:
+        c, r = words["c"], words["r"]
+        parts = [precision(c, r, n) for n in range(1, 5)]
+        logs = sum((F.ln(F.when(p > 0, p)) / 4 for p in parts), F.lit(0.0))
+        brevity = F.when(F.size(c) >= F.size(r), 0.0).otherwise(1 - F.size(r) / F.when(F.size(c) > 0, F.size(c)))
+        return F.coalesce(F.exp(logs + brevity), F.lit(0.0))
+
+    words = F.array(F.struct(tokens(F.lower(candidate)).alias("c"), tokens(F.lower(reference)).alias("r")))
+    return df.select(key, F.get(F.transform(words, score), F.lit(0)).alias("bleu"))
