@@ -110,10 +110,10 @@ def field_name(column) -> F.Column:
 
 # Frequent function words by which prose in these languages is told apart.
 FUNCTION_WORDS = {
-    "en": "the of and to in is that it for on with as was at by be this from or an are not which so than if but we i its only here there between both has have my your you no what how find more let would must cannot first after half".split(),
-    "fr": "le la les de des du un une et est en que qui dans pour sur avec au aux par il on ce se sa son cette ne pas plus donc entre si près nous vous je quelle quel combien où vaut soit comme sont mais ou à été".split(),
-    "de": "der die das und ist in den von zu mit auf für ein eine im nicht dem des sich als auch es an aus bei nach wie man kann wir also zwischen genau wert wäre weil neben laut beträgt um wo welche wenn dann über unter ich sie ihre einer einem einen".split(),
-    "es": "el la los las de del un una y es en que por para con al se su lo como más pero no entre si está hay cuál cuánto dónde según queda quedan cada o este esta sobre son vale sea nos usted mi tras".split(),
+    "en": "the of and to in is that it for on with as was at by be this from or an are not which so than if but we i its only here there between both has have my your you no what how find more let would must cannot first after half many much who why when where while also into then".split(),
+    "fr": "le la les de des du un une et est en que qui dans pour sur avec au aux par il on ce se sa son cette ne pas plus donc entre si près nous vous je quelle quel combien où vaut soit comme sont mais ou à été quelles quels quoi pourquoi qui serait était valait chaque reste aussi très sans sous dont cela ces leur tout quand".split(),
+    "de": "der die das und ist in den von zu mit auf für ein eine im nicht dem des sich als auch es an aus bei nach wie man kann wir also zwischen genau wert wäre weil neben laut beträgt um wo welche wenn dann über unter ich sie ihre einer einem einen viel viele welcher welches welchen wer warum wann dann dass wird werden hat haben bleibt jede jeder jedes".split(),
+    "es": "el la los las de del un una y es en que por para con al se su lo como más pero no entre si está hay cuál cuánto dónde según queda quedan cada o este esta sobre son vale sea nos usted mi tras qué quién cuáles cuántos cuántas cuánta cuándo cómo fuera sería sigue según desde hasta cuando donde también muy junto".split(),
 }
 CJK = re.compile(r"[㐀-鿿豈-﫿぀-ヿ가-힯]")
 _BY_WORD: dict[str, list[tuple[str, float]]] = {}
