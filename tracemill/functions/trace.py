@@ -45,8 +45,10 @@ def tagged_answer(text: Column) -> Column:
 
 
 def second_piece(text: Column) -> Column:
-    """What follows the first answer start mark up to the next mark of the pair, stripped of blanks and then of brackets."""
-    piece = F.get(F.split(text, rf"{_quoted('answer_start')}|{_quoted('answer_end')}"), F.lit(1))
+    """What follows the first answer start mark up to the next mark of the pair, stripped of blanks and then of brackets; null unless both marks occur."""
+    both = F.contains(text, F.lit(mark("answer_start"))) & F.contains(text, F.lit(mark("answer_end")))
+    after = F.get(F.split(text, _quoted("answer_start")), F.lit(1))
+    piece = F.when(both, F.get(F.split(strip(after), _quoted("answer_end")), F.lit(0)))
     return F.regexp_replace(F.regexp_replace(strip(piece), r"^\(+|\(+$", ""), r"^\)+|\)+$", "")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,13 +18,14 @@ def numbered(df: DataFrame, order: str, name: str = "rn", buckets: int = 256) ->
     """Adds the 0-based place of each row in the order of a numeric column with distinct values.
 
     A window over the whole table would be one task; here rows are counted per range of the column first, and a row's
-    place is its place in the range plus the rows of the ranges before.
+    place is its place in the range plus the rows of the ranges before. The ranges are quantiles, so they hold about
+    equally many rows however the values are spread.
     """
-    low, high = df.agg(F.min(order), F.max(order)).first()
-    if low is None:
+    bounds = sorted(set(df.approxQuantile(order, [k / buckets for k in range(1, buckets)], 0.25 / buckets)))
+    if not bounds:
         return df.withColumn(name, F.lit(0).cast("bigint"))
-    width = max(1.0, (float(high) - float(low) + 1) / buckets)
-    ranged = df.withColumn("__b", F.floor((F.col(order) - F.lit(low)) / F.lit(width)))
+    splits = [float("-inf"), *bounds, float("inf")]
+    ranged = Bucketizer(splits=splits, inputCol="__v", outputCol="__b").transform(df.withColumn("__v", F.col(order).cast("double"))).drop("__v")
     counts = ranged.groupBy("__b").agg(F.count("*").alias("__n"))
     before = counts.select("__b", F.coalesce(F.sum("__n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__o"))  # at most ``buckets`` rows
     place = F.row_number().over(Window.partitionBy("__b").orderBy(order)) - 1

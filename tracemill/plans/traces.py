@@ -51,7 +51,7 @@ def step_texts(spark, d):
 
 @query("extract_answer_tag", rf"""{ctes('p')}
 SELECT pair_id, CASE WHEN regexp_matches(chosen, '(?s)<\|answer_start\|>(.*?)<\|answer_end\|>') THEN {strip_sql(r"regexp_extract(chosen, '(?s)<\|answer_start\|>(.*?)<\|answer_end\|>', 1)")} END AS answer,
-regexp_replace(regexp_replace({strip_sql(r"string_split_regex(chosen, '<\|answer_start\|>|<\|answer_end\|>')[2]")}, '^\(+|\(+$', '', 'g'), '^\)+|\)+$', '', 'g') AS piece FROM p""")
+regexp_replace(regexp_replace({strip_sql(r"CASE WHEN contains(chosen, '<|answer_start|>') AND contains(chosen, '<|answer_end|>') THEN string_split(string_split(chosen, '<|answer_start|>')[2], '<|answer_end|>')[1] END")}, '^\(+|\(+$', '', 'g'), '^\)+|\)+$', '', 'g') AS piece FROM p""")
 def extract_answer_tag(spark, d):
     c = F.col("chosen")
     return pairs(spark, d, "chosen").select("pair_id", T.tagged_answer(c).alias("answer"), T.second_piece(c).alias("piece"))
