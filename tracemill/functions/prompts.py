@@ -37,22 +37,22 @@ _SIMPLE = {
     "mpt": ("", ""),
     "add_colon_two": (": ", ":"),
     "no_colon_two": ("", ""),
-    "internvl_zh": (": ", ":"),
+    "message_colon_two": (": ", ":"),
     "chatml": ("\n", "\n"),
     "chatglm3": ("\n ", ""),
-    "chatintern": (":", ":"),
+    "colon_line_two": (":", ":"),
     "dolly": (":\n", ":\n"),
     "phoenix": (": <s>", ": <s>"),
     "rwkv": (": ", ":"),
     "chatglm": ("：", "："),
 }
-_TWO = {"add_colon_two", "no_colon_two", "internvl_zh", "chatintern", "dolly", "llama2"}
+_TWO = {"add_colon_two", "no_colon_two", "message_colon_two", "colon_line_two", "dolly", "llama2"}
 STYLES = (*_SIMPLE, "llama2")
 
 #: The five registered templates, with a neutral system message.
 TEMPLATES = {
-    "bilingual_colon": Template("internvl_zh", "", "", ("<human>", "<bot>"), " ", "</s>"),
-    "hermes": Template("mpt", "<|im_start|>system\n{system}", roles=("<|im_start|>user\n", "<|im_start|>assistant\n"), first="<|im_end|>"),
+    "bilingual_colon": Template("message_colon_two", "", "", ("<human>", "<bot>"), " ", "</s>"),
+    "chat_im_eot": Template("mpt", "<|im_start|>system\n{system}", roles=("<|im_start|>user\n", "<|im_start|>assistant\n"), first="<|im_end|>"),
     "chat_im": Template("mpt", "<|im_start|>system\n{system}", roles=("<|im_start|>user\n", "<|im_start|>assistant\n"), first="<|im_end|>"),
     "chat_phi": Template("mpt", "<|system|>\n{system}", roles=("<|user|>\n", "<|assistant|>\n"), first="<|end|>"),
     "chat_im_line": Template("mpt", "<|im_start|>system\n{system}", roles=("<|im_start|>user\n", "<|im_start|>assistant\n"), first="<|im_end|>\n"),
@@ -73,8 +73,8 @@ def render(turns: Column, template: Template) -> Column:
         return F.concat(F.lit(start), F.array_join(body, ""))
     with_text, waiting = _SIMPLE[style]
     start = {
-        "no_colon_single": system, "no_colon_two": system, "rwkv": system, "chatintern": system, "dolly": system, "phoenix": system,
-        "internvl_zh": t.message + t.first,
+        "no_colon_single": system, "no_colon_two": system, "rwkv": system, "colon_line_two": system, "dolly": system, "phoenix": system,
+        "message_colon_two": t.message + t.first,
         "chatml": system + t.first + "\n" if system else "",
         "chatglm": system + t.first if system else "",
         "chatglm3": system if t.message else "",
@@ -86,7 +86,7 @@ def render(turns: Column, template: Template) -> Column:
         "rwkv": lambda i: F.lit("\n\n"),
         "chatml": lambda i: F.lit(t.first + "\n"),
         "chatglm3": lambda i: F.lit(""),
-        "chatintern": lambda i: F.concat(sep(i), F.lit("\n")),
+        "colon_line_two": lambda i: F.concat(sep(i), F.lit("\n")),
         "dolly": lambda i: F.concat(sep(i), F.when(i % 2 == 1, F.lit("\n\n")).otherwise(F.lit(""))),
         "phoenix": lambda i: F.lit("</s>"),
     }.get(style, sep)
