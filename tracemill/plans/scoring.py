@@ -67,6 +67,14 @@ def extract_numbers(spark, d):
     return table(spark, d, "documents").select("doc_id", count(A._COMMAS).alias("n_grouped"), count(A._SCIENTIFIC).alias("n_scientific"))
 
 
+# The SQL above reads a prefix and two patterns; this one reads whole texts with all three, which RE2 cannot express.
+@query("extract_numbers_whole")
+def extract_numbers_whole(spark, d):
+    t = F.coalesce("text", F.lit(""))
+    count = lambda p: F.size(F.regexp_extract_all(t, F.lit(p), F.lit(0)))
+    return table(spark, d, "documents").select("doc_id", count(A._COMMAS).alias("n_grouped"), count(A._SCIENTIFIC).alias("n_scientific"), count(A._PLAIN).alias("n_plain"))
+
+
 @query("all_numbers")
 def all_numbers(spark, d):
     return responses(spark, d, "response").select("response_id", F.array_join(A.extract_numbers(F.col("response")), "|").alias("numbers"))
