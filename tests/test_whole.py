@@ -16,3 +16,18 @@ def test_numbers_of_whole_texts(spark):
     got = {r.doc_id: (r.n_grouped, r.n_scientific, r.n_plain) for r in QUERIES["extract_numbers_whole"](spark, SMALL).collect()}
     assert got == {i: tuple(len(re.findall(p, t or "")) for p in (A._COMMAS, A._SCIENTIFIC, A._PLAIN)) for i, t in texts.items()}
     assert any(re.search(A._PLAIN, t[200:]) for t in texts.values() if t)
+
+
+def trimmed(response):
+    out = re.split("[.,!]", response.strip())[0].lower()
+    for word in ("is ", "are ", "a ", "an ", "the "):
+        if word in out:
+            out = out.split(word)[1]
+    return out.split(" of")[0].strip()
+
+
+def test_phrases_of_long_responses(spark):
+    responses = dict(table(spark, SMALL, "sampled_response").select("response_id", "response").collect())
+    got = dict(QUERIES["trimmed_phrase_whole"](spark, SMALL).collect())
+    assert got == {i: None if t is None else trimmed(t) for i, t in responses.items()}
+    assert any(len(t) >= 200 and got[i] for i, t in responses.items() if t)

@@ -68,6 +68,12 @@ def trimmed_phrase(spark, d):
     return responses(spark, d, "response").where(F.length("response") < 200).select("response_id", I.trimmed_phrase(F.col("response")).alias("phrase"))
 
 
+# The SQL above leaves out responses of 200 characters and more; this one gives every response its phrase.
+@query("trimmed_phrase_whole")
+def trimmed_phrase_whole(spark, d):
+    return responses(spark, d, "response").select("response_id", I.trimmed_phrase(F.col("response")).alias("phrase"))
+
+
 @query("loose_format", rf"""{ctes('s')}, n AS (SELECT response_id, answer_pred AS p, answer AS g, {strip_sql(rf"regexp_replace(regexp_replace({strip_sql('answer_pred')}, '^\(+|\(+$', '', 'g'), '^\)+|\)+$', '', 'g')")} AS b FROM s)
 SELECT response_id, CASE WHEN regexp_matches(g, '^[A-J]$') THEN CASE WHEN length(b) > 1 AND regexp_matches(b[1], '[A-J]') THEN b[1] ELSE b END ELSE p END AS answer FROM n""")
 def loose_format(spark, d):
