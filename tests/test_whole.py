@@ -5,7 +5,9 @@ import re
 from conftest import SMALL
 
 from tracemill.functions import answers as A
+from tracemill.operators.search import search
 from tracemill.plans import catalog
+from tracemill.providers import HashSteps
 from tracemill.session import table
 
 QUERIES = catalog.queries()
@@ -31,3 +33,16 @@ def test_phrases_of_long_responses(spark):
     got = dict(QUERIES["trimmed_phrase_whole"](spark, SMALL).collect())
     assert got == {i: None if t is None else trimmed(t) for i, t in responses.items()}
     assert any(len(t) >= 200 and got[i] for i, t in responses.items() if t)
+
+
+def test_search_has_the_defaults_of_the_operator(spark):
+    pairs = {r.pair_id: r for r in table(spark, SMALL, "preference_pair").select("pair_id", "question", "prompt", "chosen").collect()}
+    got = {}
+    for r in QUERIES["mcts_search"](spark, SMALL).collect():
+        got.setdefault(r.pair_id, {})[r.rank] = r.text
+    alias = [i for i, r in pairs.items() if not r.question and r.prompt]
+    assert alias and set(got) == set(pairs)
+    for i in [*alias, *sorted(pairs)[:5]]:
+        gold = re.search(r"<\|answer_start\|>([^<]*)", pairs[i].chosen or "")
+        want = search(pairs[i].question or pairs[i].prompt or "", gold.group(1) if gold else "", HashSteps())
+        assert [got[i][k] for k in sorted(got[i])] == [x["text"] for x in want]

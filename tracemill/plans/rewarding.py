@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracemill.functions import scores as S
+from tracemill.functions.text import present
 from tracemill.operators import hierarchy as H
 from tracemill.operators import rewards as R
 from tracemill.operators.search import mcts_search as run_search
@@ -123,8 +124,8 @@ def prm_step_scores(spark, d):
 
 @query("mcts_search")
 def mcts_search(spark, d):
-    p = pairs(spark, d, "question", "chosen").select("pair_id", "question", F.regexp_extract("chosen", r"<\|answer_start\|>([^<]*)", 1).alias("gold"))
-    return run_search(p, "pair_id", "question", "gold", simulations=10, depth=4).drop("vector")
+    p = pairs(spark, d, "question", "prompt", "chosen").select("pair_id", present(F.col("question"), F.col("prompt")).alias("question"), F.regexp_extract("chosen", r"<\|answer_start\|>([^<]*)", 1).alias("gold"))
+    return run_search(p, "pair_id", "question", "gold").drop("vector")
 
 
 # ---- categories ------------------------------------------------------------
