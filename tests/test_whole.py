@@ -35,6 +35,26 @@ def test_phrases_of_long_responses(spark):
     assert any(len(t) >= 200 and got[i] for i, t in responses.items() if t)
 
 
+def final_answer(text):
+    trigger = next((t for t in A.TRIGGERS if t in text), None)
+    if trigger is None or text.count(trigger) > 2 or text.count("\n") < 2:
+        return None
+    rationale, answer = (x.strip() for x in text.rsplit(trigger, 1))
+    return (rationale, answer) if rationale and "\n" not in answer else None
+
+
+def test_final_answers_and_labels_of_whole_texts(spark):
+    rows = table(spark, SMALL, "documents").select("doc_id", "text", "n_chars").collect()
+    want = {}
+    for i, t, _ in rows:
+        t = t or ""
+        want[i] = final_answer((f"{t}\nso\nFinal answer: {i}", f"{t}\n\nFinal Answer: x{i}\ny", f"Final answer: {i}", f"{t}\n\n答案: {i} ", t)[i % 5])
+    got = {r.doc_id: (r.rationale, r.answer) for r in QUERIES["parse_final_answer_whole"](spark, SMALL).collect()}
+    assert got == {i: x for i, x in want.items() if x} and any(len(x[0]) > 80 for x in got.values())
+    labels = {r.doc_id: (r.body, r.labels) for r in QUERIES["split_labels_whole"](spark, SMALL).collect()}
+    assert labels == {i: (t or "", None if n is None else str(n)) for i, t, n in rows}
+
+
 def test_search_has_the_defaults_of_the_operator(spark):
     pairs = {r.pair_id: r for r in table(spark, SMALL, "preference_pair").select("pair_id", "question", "prompt", "chosen").collect()}
     got = {}

@@ -41,6 +41,14 @@ def split_labels(spark, d):
     return table(spark, d, "documents").select("doc_id", I.split_labels(value).alias("x")).select("doc_id", F.col("x.text").alias("body"), "x.labels")
 
 
+# The SQL above reads the first 20 characters; this one reads whole texts.
+@query("split_labels_whole")
+def split_labels_whole(spark, d):
+    text = F.coalesce("text", F.lit(""))
+    value = F.when(F.col("n_chars").isNull(), text).otherwise(F.concat(text, F.lit("<|split_token|>"), F.col("n_chars").cast("string")))
+    return table(spark, d, "documents").select("doc_id", I.split_labels(value).alias("x")).select("doc_id", F.col("x.text").alias("body"), "x.labels")
+
+
 @query("modality", f"""{ctes('p')}, n AS (SELECT pair_id, coalesce(len(list_filter(image, lambda x: x IS NOT NULL AND x <> '')), 0) AS n, video FROM p) SELECT pair_id, CASE WHEN n > 1 THEN 'multi_image' WHEN n = 1 THEN 'image' WHEN coalesce(video, '') <> '' THEN 'video' ELSE 'text' END AS kind FROM n""")
 def modality(spark, d):
     return pairs(spark, d, "image", "video").select("pair_id", I.modality(F.col("image"), F.col("video")).alias("kind"))

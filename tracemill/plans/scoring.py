@@ -17,8 +17,7 @@ from tracemill.session import table
 _FINAL = "CASE doc_id % 5 WHEN 0 THEN t || chr(10) || 'so' || chr(10) || 'Final answer: ' || doc_id WHEN 1 THEN t || chr(10) || chr(10) || 'Final Answer: x' || doc_id || chr(10) || 'y' WHEN 2 THEN 'Final answer: ' || doc_id WHEN 3 THEN t || chr(10) || chr(10) || '答案: ' || doc_id || ' ' ELSE t END"
 
 
-def _final(d):
-    t = F.substring(F.coalesce("text", F.lit("")), 1, 80)
+def _final(t):
     i, nl = F.col("doc_id").cast("string"), F.lit("\n")
     k = F.col("doc_id") % 5
     return (
@@ -27,6 +26,11 @@ def _final(d):
     )
 
 
+def _parsed(spark, d, text):
+    r = table(spark, d, "documents").select("doc_id", A.parse_final_answer(_final(text)).alias("x"))
+    return r.where("x IS NOT NULL").select("doc_id", "x.rationale", "x.answer")
+
+
 def _count(x: str, sub: str) -> str:
     return f"((length({x}) - length(replace({x}, '{sub}', ''))) // length('{sub}'))"
 
@@ -37,8 +41,13 @@ x AS (SELECT doc_id, r, g, string_split(r, g) AS s FROM t WHERE g IS NOT NULL),
 y AS (SELECT doc_id, r, g, {strip_sql("substring(r, 1, length(r) - length(s[len(s)]) - length(g))")} AS rationale, {strip_sql("s[len(s)]")} AS answer, len(s) - 1 AS n FROM x)
 SELECT doc_id, rationale, answer FROM y WHERE n <= 2 AND length(r) - length(replace(r, chr(10), '')) >= 2 AND rationale <> '' AND NOT contains(answer, chr(10))""")
 def parse_final_answer(spark, d):
-    r = table(spark, d, "documents").select("doc_id", A.parse_final_answer(_final(d)).alias("x"))
-    return r.where("x IS NOT NULL").select("doc_id", "x.rationale", "x.answer")
+    return _parsed(spark, d, F.substring(F.coalesce("text", F.lit("")), 1, 80))
+
+
+# The SQL above reads the first 80 characters; this one reads whole texts.
+@query("parse_final_answer_whole")
+def parse_final_answer_whole(spark, d):
+    return _parsed(spark, d, F.coalesce("text", F.lit("")))
 
 
 @query("quick_extract", rf"""{ctes('s')} SELECT response_id, CASE WHEN regexp_matches(response, '(?i)(Final answer:|Answer:)\s*([^\n]*)') THEN regexp_extract(response, '(?i)(Final answer:|Answer:)\s*([^\n]*)', 2) ELSE response END AS answer FROM s""")
