@@ -5,6 +5,7 @@ import re
 from conftest import SMALL
 
 from tracemill.functions import answers as A
+from tracemill.functions import inputs as I
 from tracemill.operators.search import search
 from tracemill.plans import catalog
 from tracemill.providers import HashSteps
@@ -55,6 +56,15 @@ def test_final_answers_and_labels_of_whole_texts(spark):
     assert labels == {i: (t or "", None if n is None else str(n)) for i, t, n in rows}
 
 
+def test_paths_of_deep_trees(spark):
+    nodes = [(1, i, i - 1 if i > 1 else None) for i in range(1, 71)] + [(2, 1, None), (2, 2, 1), (3, 1, 2), (3, 2, 1), (4, 5, 9)]
+    df = spark.createDataFrame(nodes, "tree long, node int, parent int")
+    got = {(r.tree, r.node): r.path for r in I.ancestor_paths(df, "tree", "node", "parent").collect()}
+    assert len(got) == len(nodes) and all(got[1, i] == list(range(1, i + 1)) for i in range(1, 71))
+    assert got[2, 2] == [1, 2] and got[3, 1] is None and got[4, 5] == [5]
+    assert I.ancestor_paths(df.where("false"), "tree", "node", "parent").count() == 0
+
+
 def test_search_has_the_defaults_of_the_operator(spark):
     pairs = {r.pair_id: r for r in table(spark, SMALL, "preference_pair").select("pair_id", "question", "prompt", "chosen").collect()}
     got = {}

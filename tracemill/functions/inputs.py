@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tracemill.functions.scores import DIMENSIONS
 from tracemill.functions.text import SPACE, strip, to_double
+from tracemill.session import cut
 
 PLACEHOLDER = "<image>"
 
@@ -156,12 +157,21 @@ def reward_dimensions(text: str | None) -> tuple[str, ...]:
     return tuple(str(x) for x in value)
 
 
-def ancestor_paths(nodes: DataFrame, tree: str, node: str, parent: str, depth: int) -> DataFrame:
-    """(tree, node, path) with the nodes from the root to each node, by ``depth`` joins of the nodes with their parents."""
+def ancestor_paths(nodes: DataFrame, tree: str, node: str, parent: str) -> DataFrame:
+    """(tree, node, path) with the nodes from the root to each node; a parent that is no node of the tree is not in the path.
+
+    Pointer doubling: each round joins a path with that of the node it hangs on, so rounds grow with the logarithm of the
+    depth. A node whose ancestors form a circle has no root, and its path is null.
+    """
     base = nodes.select(tree, node, parent)
-    up = base.select(F.col(tree).alias("t"), F.col(node).alias("n"), F.col(parent).alias("p"))
-    walk = base.select(tree, node, F.array(node).alias("path"), F.col(parent).alias("at"))
-    for _ in range(depth):
+    known = base.select(F.col(tree).alias("t"), F.col(node).alias("n"))
+    walk = base.join(known, (F.col(tree) == F.col("t")) & (F.col(parent) == F.col("n")), "left").select(tree, node, F.array(node).alias("path"), F.col("n").alias("at"))
+    walk, rounds = cut(walk), 0
+    # as many rounds as the size of the largest tree can need
+    largest = walk.groupBy(tree).count().agg(F.max("count")).first()[0] or 0
+    while rounds < largest.bit_length() and not walk.where(F.col("at").isNotNull()).isEmpty():
+        up = walk.select(F.col(tree).alias("t"), F.col(node).alias("n"), F.col("path").alias("above"), F.col("at").alias("next"))
         walk = walk.join(up, (F.col(tree) == F.col("t")) & (F.col("at") == F.col("n")), "left")
-        walk = walk.select(tree, node, F.when(F.col("n").isNotNull(), F.concat(F.array("n"), "path")).otherwise(F.col("path")).alias("path"), F.col("p").alias("at"))
-    return walk.select(tree, node, "path")
+        walk = cut(walk.select(tree, node, F.when(F.col("n").isNotNull(), F.concat("above", "path")).otherwise(F.col("path")).alias("path"), F.col("next").alias("at")))
+        rounds += 1
+    return walk.select(tree, node, F.when(F.col("at").isNull(), F.col("path")).alias("path"))

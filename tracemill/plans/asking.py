@@ -127,7 +127,7 @@ def messages_prompt(spark, d):
 
 @query("ancestor_paths", f"WITH RECURSIVE {_TREE}, walk AS (SELECT o_custkey, node, CAST(node AS VARCHAR) AS path, parent AS up FROM tree UNION ALL SELECT w.o_custkey, w.node, CAST(t.node AS VARCHAR) || ',' || w.path, t.parent FROM walk w JOIN tree t ON t.o_custkey = w.o_custkey AND t.node = w.up) SELECT o_custkey, CAST(node AS INTEGER) AS node, path FROM walk WHERE up IS NULL")
 def ancestor_paths(spark, d):
-    p = I.ancestor_paths(_tree(spark, d).withColumn("parent", F.col("parent").cast("int")), "o_custkey", "node", "parent", 6)
+    p = I.ancestor_paths(_tree(spark, d).withColumn("parent", F.col("parent").cast("int")), "o_custkey", "node", "parent")
     return p.select("o_custkey", "node", F.array_join(F.transform("path", lambda x: x.cast("string")), ",").alias("path"))
 
 
