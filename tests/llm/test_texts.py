@@ -126,6 +126,21 @@ def test_repetition(spark):
     assert R.reject(repeated(spark, rows).where("false")).count() == 0
 
 
+def test_every_value_has_a_share(spark):
+    rng = random.Random(10)
+    vocabulary = [f"w{i}" for i in range(200)]
+    rows = [(i, "s", " ".join(rng.choices(vocabulary, k=rng.randint(0, 40)))) for i in range(200)]
+    rows += [(300, "s", "a b c d e f " * 3), (301, None, None), (302, "s", " \n"), (303, "s", "one word"), (304, "s", "a b c d e f g h " * 9), rows[0]]
+    out = R.shares(repeated(spark, rows)).collect()
+    got = {r.record_id: r for r in out}
+    assert len(out) == len(got) == 205
+    for i, _, t in rows:
+        words = words_of(t)
+        assert got[i].n_words == len(words) and got[i].share == (None if t is None else round(R.repeated_share(words, 5), 9))
+        assert (got[i].distance is None) is (len(words) < 20) and got[i].flagged is (i == 304)
+    assert got[300].share > 0.3
+
+
 def test_robust_distance_of_usual_values_is_small(spark):
     rng = random.Random(9)
     vocabulary = [f"w{i}" for i in range(2000)]

@@ -12,7 +12,9 @@ A distance is never smaller than that of one coordinate alone, so in a group who
 Groups that do not give this promise (most of their values repeat, say) reject all their values, so none is lost. Groups
 of fewer than ``least_group`` values are joined with the other small ones of their language, then with all small ones.
 
-Null, blank and short values have no share and are not reported; re-delivered records count once.
+Every value has a share: 0 where it has fewer than five words, null where it is null. Values of fewer than
+``least_words`` words take no part in the estimates, have no distance and are not reported; re-delivered records count
+once.
 """
 
 from __future__ import annotations
@@ -51,16 +53,22 @@ def values_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said.unionByName(pairs.select(F.col("v.f").alias("field_name"), F.col("pair_id").alias("record_id"), F.lit(-1).alias("turn_pos"), F.col("ds_name").alias("source"), F.col("v.t").alias("text")))
 
 
-def statistics(values: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """(field_name, record_id, turn_pos, source, lang, n_words, share, runs, pairs, sentences, variety)."""
+def statistics(values: DataFrame, least_words: int = LEAST_WORDS, every: bool = False) -> DataFrame:
+    """(field_name, record_id, turn_pos, source, lang, n_words, share, runs, pairs, sentences, variety).
+
+    Shorter values are left out, or with ``every`` have ``n_words`` and ``share`` only.
+    """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = WordIds()
         for batch in batches:
             at, rows = [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
-                words = words_of(text) if text and len(text) >= 2 * least_words - 1 else []
+                words = words_of(text) if text and (every or len(text) >= 2 * least_words - 1) else []
                 if len(words) < least_words:
+                    if every:
+                        at.append(i)
+                        rows.append((None, len(words), None if text is None else repeated_share(words, RUN), *[None] * 4))
                     continue
                 coded = ids_of(words, ids)
                 shares = []
@@ -142,7 +150,12 @@ CONSISTENCY = 0.418
 
 def reject(values: DataFrame, least_words: int = LEAST_WORDS, limit: float = LIMIT, least_group: int = LEAST_GROUP) -> DataFrame:
     """(field_name, record_id, turn_pos, n_words, share, distance, rejected) of every value of enough words."""
-    rows = cut(_grouped(cut(statistics(values, least_words)), least_group))
+    return judge(cut(statistics(values, least_words)), limit, least_group)
+
+
+def judge(measured: DataFrame, limit: float = LIMIT, least_group: int = LEAST_GROUP) -> DataFrame:
+    """What ``reject`` gives, from the statistics of values of enough words."""
+    rows = cut(_grouped(measured, least_group))
     judged = rows.join(robust_estimates(rows), "grp").withColumn("distance", _distance() * CONSISTENCY)
     promise = (F.col("centre")[0] <= SAFE_CENTRE) & (F.col("deviation") / CONSISTENCY**0.5 <= (limit - SAFE_CENTRE) / QUANTILE**0.5)
     return judged.select("field_name", "record_id", "turn_pos", "source", "lang", "n_words", "share", "distance", ((F.col("distance") > QUANTILE) | ~promise).alias("rejected"))
@@ -153,7 +166,16 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reject(values_of(spark, sf_dir)).where(F.col("rejected") & (F.col("share") >= LIMIT - 1e-12)).select("field_name", "record_id", "turn_pos")
 
 
+def shares(values: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """(field_name, record_id, turn_pos, n_words, share, distance, flagged) of every value; short ones have no distance and are not flagged."""
+    measured = cut(statistics(values, least_words, every=True))
+    judged = judge(measured.where(F.col("n_words") >= least_words))
+    flagged = F.col("rejected") & (F.col("share") >= LIMIT - 1e-12)
+    short = measured.where(F.col("n_words") < least_words).withColumns({"distance": F.lit(None).cast("double"), "rejected": F.lit(False)})
+    columns = ["field_name", "record_id", "turn_pos", "n_words", F.round("share", 9).alias("share"), F.round("distance", 3).alias("distance"), F.coalesce(flagged, F.lit(False)).alias("flagged")]
+    return judged.select(*columns).unionByName(short.select(*columns))
+
+
 def p6_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The share of every value of enough words, with its distance and whether it is flagged."""
-    rows = reject(values_of(spark, sf_dir))
-    return rows.select("field_name", "record_id", "turn_pos", "n_words", F.round("share", 9).alias("share"), F.round("distance", 3).alias("distance"), (F.col("rejected") & (F.col("share") >= LIMIT - 1e-12)).alias("flagged"))
+    """The share of every value, with its distance (null for values of few words) and whether it is flagged."""
+    return shares(values_of(spark, sf_dir))
