@@ -66,6 +66,22 @@ def test_cut_values(spark):
     assert U.cut_values(values(spark, rows).where("false")).count() == 0
 
 
+def test_cut_from_a_value_that_is_not_the_longest(spark, tmp_path):
+    rng = random.Random(12)
+    word = lambda: rng.choice(["bar", "chart", "line", "label", "unit", "axis"]) + rng.choice("abcdefgh")
+    start, middle = " ".join(word() for _ in range(40)), " ".join(word() for _ in range(18))
+    longest = start + " " + " ".join(word() for _ in range(160)) + "."
+    original = f"{start} {middle} at 16.85 units. " + " ".join(word() for _ in range(40)) + "."
+    named = f"{start} {middle}.\nFinal answer: sixteen"
+    rows = [(2, 1, longest), (2, 2, original), (2, 3, f"{start} {middle} at 16."), (2, 4, named), (2, 5, named[:-4]), (2, 6, f"{start} {middle} at 17."), (0, 3, f"{start} {middle} at 16.")]
+    got = {(r.field, r.id): r.reason for r in U.cut_values(values(spark, rows)).collect()}
+    assert {k for k, r in got.items() if r} == {(2, 3), (2, 5)} and len(got) == 7
+    # problem 3 has the cases of problem 4
+    spark.createDataFrame([(i, "s", "Which value is shown?", t) for _, i, t in rows[:6]], "response_id long, ds_name string, question string, response string").write.parquet(f"{tmp_path}/sampled_response.parquet")
+    spark.createDataFrame([], "pair_id long, ds_name string, question string, prompt string, chosen string, rejected string").write.parquet(f"{tmp_path}/preference_pair.parquet")
+    assert {r.record_id for r in D.p3_found(spark, str(tmp_path)).where("defect = 'truncated'").collect()} == {3, 5} == {r.record_id for r in U.p4_found(spark, str(tmp_path)).collect()}
+
+
 def test_flags_of_empty_and_repeated_tables(spark):
     df = values(spark, [(0, 1, ""), (0, 1, ""), (1, 1, "fine.")])
     assert [(r.field, r.id, r.defect) for r in D.flag_defects(df).collect()] == [(0, 1, "empty")]

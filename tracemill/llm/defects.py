@@ -2,7 +2,7 @@
 
 Per value, in this order: ``empty``, ``copy`` (greedy string tiling of the answer by the question), ``refusal`` (a
 grammar of inability, unwillingness, policy, missing input and referral in four languages and Chinese), ``truncated``
-(the pushdown parser and closing words of ``endings``) and ``wrong_language`` (scripts and function words of the prose,
+(the cases of problem 4: pushdown parser and closing words of ``endings``, and alignment with other values) and ``wrong_language`` (scripts and function words of the prose,
 quotations left out, against the language asked for). A value has one defect at most; without a question only the
 first, third and fourth apply. Null values are empty; re-delivered records count once.
 """
@@ -219,14 +219,15 @@ def is_wrong_language(text: str, question: str, least: float = 2.0) -> bool:
     return best != asked and score[best] >= least and score[best] > 1.5 * score.get(asked, 0.0)
 
 
-def defect_of(text: str | None, question: str | None) -> str | None:
+def defect_of(text: str | None, question: str | None, reason: str | None | bool = False) -> str | None:
+    """The defect of a value; ``reason`` is what ``cut_reason`` says of it, if that is known."""
     if is_empty(text):
         return "empty"
     if question and is_copy(text, question):
         return "copy"
     if is_refusal(text):
         return "refusal"
-    if cut_reason(text):
+    if cut_reason(text) if reason is False else reason:
         return "truncated"
     if question and is_wrong_language(text, question):
         return "wrong_language"
@@ -246,6 +247,10 @@ def flag_defects(values: DataFrame) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = flag_defects(text_values(spark, sf_dir))
+    from tracemill.llm.truncation import EARLY, cut_values
+
+    # what only the alignment of problem 4 shows to be cut is truncated too, unless an earlier defect holds
+    aligned = (F.col("reason") == EARLY) & (F.col("defect").isNull() | (F.col("defect") == "wrong_language"))
+    found = cut_values(text_values(spark, sf_dir), defects=True).withColumn("defect", F.when(aligned, "truncated").otherwise(F.col("defect"))).where("defect IS NOT NULL")
     name = F.when(F.col("field") == 2, F.lit("sampled_response")).otherwise(F.lit("preference_pair"))
     return found.select(name.alias("table_name"), F.col("id").alias("record_id"), field_name(F.col("field")).alias("field_name"), "defect")

@@ -4,7 +4,10 @@ A value and the value it was cut from agree in their beginnings, so near-copies
 min-hash bands over the five-word shingles of its first 12, 36, 108, ... words, and asks with the bands of its own
 longest beginning. Each band answers with its longest value (one aggregate per band, so a hot band is no large group),
 the texts of the pairs are fetched once and verified (0.8 of the shorter one's shingles), and the end of the shorter one
-is aligned with the longer one: where that goes on inside the sentence, word or number, the value was cut. All values,
+is aligned with the longer one: where that goes on inside the sentence, word or number, the value was cut. As the longest
+value of a band need not be the one a value was cut from, values that look whole also ask with the hash of all their words
+but the last: every value with the same first ``HEAD`` words answers at the lengths asked there with that hash and the word
+behind, so an exact beginning of any other value is found whichever is the longest. All values,
 matched or not, also get the closing-word test of ``endings``; copies of the question have no end of their own and count
 as whole.
 
@@ -17,17 +20,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import WORD, WordIds, blocks, field_name, ids_of, minhash, multipliers, shingle_hashes, text_values, words_of
-from tracemill.llm.defects import is_copy, is_empty
+from tracemill.llm.common import MARK, WORD, WordIds, blocks, field_name, ids_of, minhash, multipliers, shingle_hashes, text_values, words_of
+from tracemill.llm.defects import defect_of, is_copy, is_empty
 from tracemill.llm.endings import cut_reason
 from tracemill.session import cut
 
 SHINGLE, SIMILARITY = 5, 0.8
 SCALES = (12, 36, 108, 324, 972, 2916, 8748)
 BANDS, ROWS = 3, 2
+HEAD = 11
+EARLY = "alignment ends early"
 _SEED = 77_001
 
 
@@ -36,15 +42,46 @@ def beginnings(word_ids: np.ndarray) -> list[np.ndarray]:
     return [shingle_hashes(word_ids[:scale], SHINGLE) for scale in SCALES if len(word_ids) >= scale]
 
 
-def profile(values: DataFrame) -> DataFrame:
-    """(field, id, ds_name, blank, reason, n_words, keys): keys are BANDS for each beginning, the longest beginning last."""
+def prefix_hashes(words: list[str], lengths: list[int]) -> list[int]:
+    """Hashes of the first n words for every n of the ascending ``lengths``."""
+    h, at, out = xxhash.xxh64(), 0, []
+    for n in lengths:
+        h.update("".join(w + " " for w in words[at:n]))
+        at = n
+        out.append(h.intdigest() - 2**63)
+    return out
+
+
+def open_end(text: str) -> str | None:
+    """'bare' for a text that ends in a word, 'point' for one with . or , behind its last word, None for any other."""
+    body = text.rstrip()
+    point = body[-1:] in (".", ",")
+    body = body[:-1].rstrip() if point else body
+    return ("point" if point else "bare") if WORD.fullmatch(body[-1:]) else None
+
+
+def profile(values: DataFrame, defects: bool = False) -> DataFrame:
+    """(field, id, ds_name, blank, reason, defect, n_words, keys, head, ask, last, bare), one row a record.
+
+    ``keys`` are BANDS for each beginning, the longest beginning last; ``head`` is the hash of the first HEAD words. Values
+    that look whole have ``ask``, the hash of all words but the last, and ``last``, that word. ``defect`` is that of
+    problem 3 if ``defects``.
+    """
     mult = multipliers(BANDS * ROWS, _SEED)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = WordIds()
         for batch in batches:
             texts, questions = batch.column("text").to_pylist(), batch.column("question").to_pylist()
-            reasons = [None if (r := cut_reason(t)) is None or is_empty(t) or (q and is_copy(t, q)) else r for t, q in zip(texts, questions)]
+            ends = [cut_reason(t) for t in texts]
+            flaws = [defect_of(t, q, r) if defects else None for t, q, r in zip(texts, questions, ends)]
+            # these have no end of their own
+            idle = [d in ("empty", "copy") if defects else None for d in flaws]
+
+            def no_end(i: int) -> bool:
+                return idle[i] if idle[i] is not None else is_empty(texts[i]) or bool(questions[i] and is_copy(texts[i], questions[i]))
+
+            reasons = [None if r is None or no_end(i) else r for i, r in enumerate(ends)]
             words = [words_of(t) if t and len(t) > 2 * SCALES[0] else [] for t in texts]
             keys: list[list[int]] = [[] for _ in texts]
             for part in blocks((i for i, w in enumerate(words) if len(w) >= SCALES[0]), lambda i: 2 * len(words[i]), 60_000):
@@ -58,12 +95,19 @@ def profile(values: DataFrame) -> DataFrame:
                 band = band_keys(signature)
                 for (i, k), row in zip(owner, band):
                     keys[i] += (row ^ np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)).astype(np.int64).tolist()
+            heads, asks, lasts, bares = [], [], [], []
+            for i, (t, w) in enumerate(zip(texts, words)):
+                end = open_end(t) if len(w) > HEAD and ends[i] is None and not no_end(i) else None
+                heads.append(prefix_hashes(w, [HEAD])[0] if len(w) > HEAD else None)
+                asks.append(prefix_hashes(w, [len(w) - 1])[0] if end else None)
+                lasts.append(w[-1] if end else None)
+                bares.append(end == "bare" if end else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("field"), batch.column("id"), batch.column("ds_name"), pa.array([is_empty(t) for t in texts]), pa.array(reasons, pa.string()), pa.array([len(w) for w in words], pa.int32()), pa.array(keys, pa.list_(pa.int64()))],
-                ["field", "id", "ds_name", "blank", "reason", "n_words", "keys"],
+                [batch.column("field"), batch.column("id"), batch.column("ds_name"), pa.array([is_empty(t) for t in texts]), pa.array(reasons, pa.string()), pa.array(flaws, pa.string()), pa.array([len(w) for w in words], pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(heads, pa.int64()), pa.array(asks, pa.int64()), pa.array(lasts, pa.string()), pa.array(bares, pa.bool_())],
+                ["field", "id", "ds_name", "blank", "reason", "defect", "n_words", "keys", "head", "ask", "last", "bare"],
             )
 
-    return values.mapInArrow(make, "field int, id bigint, ds_name string, blank boolean, reason string, n_words int, keys array<bigint>").dropDuplicates(["field", "id"])
+    return values.mapInArrow(make, "field int, id bigint, ds_name string, blank boolean, reason string, defect string, n_words int, keys array<bigint>, head bigint, ask bigint, last string, bare boolean").dropDuplicates(["field", "id"])
 
 
 def band_keys(signature: np.ndarray) -> np.ndarray:
@@ -107,10 +151,38 @@ def aligned_cut(short: str, long: str) -> bool | None:
     return False
 
 
-def cut_values(values: DataFrame) -> DataFrame:
-    """(field, id, ds_name, blank, reason) of every record; ``reason`` is null for whole values."""
+def exact_beginnings(values: DataFrame, found: DataFrame) -> DataFrame:
+    """(field, id) of asking values that are the beginning of another value and stop inside its next word or number."""
+    asks = found.where("ask IS NOT NULL").select("field", "id", F.col("n_words").alias("n"), F.col("ask").alias("prefix"), "last", "bare")
+    # lengths asked for in a group: at most as many as its longest value has words
+    asked = found.where("head IS NOT NULL").groupBy("field", "head").agg(F.count("*").alias("size"), F.collect_set(F.when(F.col("ask").isNotNull(), F.col("n_words"))).alias("lengths"))
+    asked = asked.where("size > 1 AND size(lengths) > 0").select("field", "head", F.array_sort("lengths").alias("lengths"))
+    answering = found.select("field", "id", "head", "n_words").join(asked, ["field", "head"]).where(F.col("n_words") >= F.col("lengths")[0])
+    answering = answering.select("field", "id", F.filter("lengths", lambda n: n <= F.col("n_words")).alias("lengths"))
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for f, t, lengths in zip(*(batch.column(c).to_pylist() for c in ("field", "text", "lengths"))):
+                low = MARK.sub(" ", t).lower()
+                places = [(m.group(), m.end()) for m in WORD.finditer(low)]
+                for n, prefix in zip(lengths, prefix_hashes([w for w, _ in places], [n - 1 for n in lengths])):
+                    w, end = places[n - 1]
+                    rows.append((f, n, prefix, w, low[end : end + 1] in (".", ",") and low[end + 1 : end + 2].isdigit()))
+            columns = list(zip(*rows)) if rows else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, (pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.bool_()))], ["field", "n", "prefix", "word", "number"])
+
+    texts = values.select("field", "id", "text").join(answering, ["field", "id"]).select("field", "text", "lengths")
+    ends = texts.mapInArrow(answer, "field int, n int, prefix bigint, word string, number boolean").distinct().withColumnsRenamed({"field": "f", "n": "m", "prefix": "p"})
+    longer = F.col("bare") & (F.length("word") > F.length("last")) & F.startswith("word", "last")
+    same = (F.col("f") == F.col("field")) & (F.col("m") == F.col("n")) & (F.col("p") == F.col("prefix"))
+    return asks.join(ends, same & (longer | F.col("number") & (F.col("word") == F.col("last"))), "left_semi").select("field", "id")
+
+
+def cut_values(values: DataFrame, defects: bool = False) -> DataFrame:
+    """(field, id, ds_name, blank, reason, defect) of every record; ``reason`` is null for whole values, ``defect`` without ``defects``."""
     # the beginnings' keys are needed twice
-    found = cut(profile(values))
+    found = cut(profile(values, defects))
     posting = found.select("field", "id", "n_words", F.posexplode("keys").alias("at", "key"), F.size("keys").alias("n_keys"))
     longest = posting.groupBy("field", "key").agg(F.max(F.struct("n_words", "id")).alias("best"), F.count("*").alias("n")).where("n > 1")
     asking = posting.where(F.col("at") >= F.col("n_keys") - BANDS)
@@ -125,9 +197,10 @@ def cut_values(values: DataFrame) -> DataFrame:
             hit = [bool(aligned_cut(s, x)) for s, x in zip(batch.column("text").to_pylist(), batch.column("longer").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("field").filter(pa.array(hit)), batch.column("id").filter(pa.array(hit))], ["field", "id"])
 
-    aligned = both.select("field", "id", "text", "longer").mapInArrow(align, "field int, id bigint").distinct().withColumn("early", F.lit(True))
-    joined = found.select("field", "id", "ds_name", "blank", "reason").join(aligned, ["field", "id"], "left")
-    return joined.select("field", "id", "ds_name", "blank", F.coalesce("reason", F.when(F.col("early"), F.lit("alignment ends early"))).alias("reason"))
+    aligned = both.select("field", "id", "text", "longer").mapInArrow(align, "field int, id bigint")
+    aligned = aligned.unionByName(exact_beginnings(values, found)).distinct().withColumn("early", F.lit(True))
+    joined = found.select("field", "id", "ds_name", "blank", "reason", "defect").join(aligned, ["field", "id"], "left")
+    return joined.select("field", "id", "ds_name", "blank", F.coalesce("reason", F.when(F.col("early"), F.lit(EARLY))).alias("reason"), "defect")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
