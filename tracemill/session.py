@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,6 +33,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def partitioned(spark: SparkSession, size: float) -> Iterator[None]:
+    """Gives shuffles planned inside enough partitions for ``size`` bytes, each of the session's advisory size; never fewer than the session has."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    advised = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64m").strip().lower().rstrip("b")
+    unit = {"k": 2**10, "m": 2**20, "g": 2**30, "t": 2**40}.get(advised[-1:], 1)
+    each = max(2**20, int(float(advised.rstrip("kmgt") or 64) * unit))
+    try:
+        spark.conf.set(name, str(max(int(before), -(-int(size) // each))))
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 _SHIPPED: set[str] = set()
 
 
