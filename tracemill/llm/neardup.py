@@ -1,15 +1,19 @@
 """Problem 5: near-equal records by a byte-position inverted index with count filtering.
 
-Each value gets a digest of ``POSITIONS`` bytes; byte i is the low byte of the i-th min-hash of the value's set of
-three-word shingles, so two values agree in a position about as often as their sets' Jaccard similarity says. Values
-with the same set are one class and go on as one representative. The inverted index has a posting for each run of
-``RUN`` consecutive positions and their bytes; representatives that share a posting are tallied over the ``TALLY``
-positional bytes that a posting carries, and only pairs that reach the least number of equal bytes a pair at the
-threshold has (but for about 1 in 2,000) are kept. The kept pairs are verified on the exact shingle sets.
-
-A pair at the threshold 0.6 misses all 20 postings with probability 0.008, one at 0.7 with 0.0002; nothing else is
-lost, no posting list is capped and no list is collected: pairs come from an equi-join that adaptive execution splits
-where a posting is hot. Classes are expanded to pairs of records only at the end.
+Each value gets a digest of ``POSITIONS`` places; place i holds two bytes of the i-th min-hash of the value's set of
+three-word shingles, so two values agree in a place about as often as their sets' Jaccard similarity says. Values with
+the same set are one class and go on as one representative. The inverted index has a posting for each run of ``RUN``
+consecutive places: its number, its field and the six bytes of the run, so postings are shared by chance about once in
+2.8e14 and the key needs no widening up to billions of records. Representatives that share a posting are tallied inside
+the join over ``TALLY`` positional bytes which the posting carries; only pairs that reach ``LEAST_EQUAL`` equal bytes go
+on, and are verified on the exact shingle sets.
+
+What the index can lose: a pair of similarity s shares no posting with probability (1 - s^3)^24, which is 0.3 % at the
+threshold 0.6, 0.05 % at 0.65 and 0.004 % at 0.7, and falls short of the count with less than 0.1 % at 0.6. No posting
+list is capped and none is collected: pairs come from an equi-join over as many partitions as its size asks for, and
+adaptive execution splits it where a posting is hot. ``exact=True`` takes the index of ``guaranteed_pairs`` instead, whose
+least count every pair at the threshold reaches; it has about twice the postings and no conjunction of places, so it is
+meant for collections that share few phrases. Classes are expanded to pairs of records only at the end.
 
 Null values and values of fewer than ``least_words`` words are no candidates; re-delivered records count once.
 """
@@ -26,11 +30,13 @@ from pyspark.sql import functions as F
 
 from tracemill.llm.common import WordIds, blocks, field_name, ids_of, minhash, multipliers, shingle_hashes, text_values, words_of
 from tracemill.operators.components import connected_components
-from tracemill.session import cut
+from tracemill.session import cut, partitioned
 
-POSITIONS, RUN, TALLY = 60, 3, 16
+POSITIONS, RUN, TALLY = 72, 3, 16
 THRESHOLD, SHINGLE, LEAST_WORDS, LEAST_EQUAL = 0.6, 3, 30, 4
 _SEED = 20_240_601
+#: About what a posting takes in a shuffle, in bytes.
+POSTING_BYTES = 26
 
 
 def _sets(texts: list[str | None], ids: WordIds, shingle: int, least_words: int) -> list[np.ndarray | None]:
@@ -44,32 +50,30 @@ def _sets(texts: list[str | None], ids: WordIds, shingle: int, least_words: int)
 
 
 def sketch(values: DataFrame, shingle: int = SHINGLE, least_words: int = LEAST_WORDS) -> DataFrame:
-    """(field, id, class, keys, t0, t1): ``class`` names the set, ``keys`` the postings, t0 and t1 hold the tallied bytes."""
+    """(field, id, class, digest, t0, t1): ``class`` names the set, ``digest`` has its places, t0 and t1 the tallied bytes."""
     mult = multipliers(POSITIONS, _SEED)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = WordIds()
         for batch in batches:
-            at, classes, keys, tallies = [], [], [], []
+            at, classes, digests, tallies = [], [], [], []
             rows = enumerate(_sets(batch.column("text").to_pylist(), ids, shingle, least_words))
             for part in blocks(((i, s) for i, s in rows if s is not None), lambda x: len(x[1]), 30_000):
                 starts = np.cumsum([0, *(len(s) for _, s in part[:-1])])
-                digest = (minhash(np.concatenate([s for _, s in part]), starts, mult) & 0xFF).astype(np.uint8)
+                digest = (minhash(np.concatenate([s for _, s in part]), starts, mult) & 0xFFFF).astype(np.uint16)
                 at += [i for i, _ in part]
                 classes += [np.int64(np.uint64(xxhash.xxh64_intdigest(s.tobytes())).astype(np.int64)) for _, s in part]
-                runs = digest.reshape(len(part), POSITIONS // RUN, RUN).astype(np.int64)
-                key = (runs * 256 ** np.arange(RUN)).sum(2) | (np.arange(POSITIONS // RUN) << 8 * RUN)
-                keys.append(key.astype(np.int32))
-                tallies.append(np.ascontiguousarray(digest[:, :: POSITIONS // TALLY][:, :TALLY]).view(np.int64))
+                digests.append(digest.view(np.int16))
+                low = (digest & 0xFF).astype(np.uint8)
+                tallies.append(np.ascontiguousarray(low[:, :: POSITIONS // TALLY][:, :TALLY]).view(np.int64))
             if not at:
                 continue
-            key, tally = np.concatenate(keys), np.concatenate(tallies)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, key.size + 1, key.shape[1], dtype=np.int32)), pa.array(key.ravel()))
+            digest, tally = np.concatenate(digests), np.concatenate(tallies)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, digest.size + 1, POSITIONS, dtype=np.int32)), pa.array(digest.ravel()))
             taken = pa.array(at, pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("field").take(taken), batch.column("id").take(taken), pa.array(np.array(classes, np.int64)), lists, pa.array(tally[:, 0]), pa.array(tally[:, 1])], ["field", "id", "class", "keys", "t0", "t1"])
+            yield pa.RecordBatch.from_arrays([batch.column("field").take(taken), batch.column("id").take(taken), pa.array(np.array(classes, np.int64)), lists, pa.array(tally[:, 0]), pa.array(tally[:, 1])], ["field", "id", "class", "digest", "t0", "t1"])
 
-    # distinct() would compare the arrays too; the class follows from the record, so any of its rows will do
-    return values.where(F.length("text") >= 2 * least_words - 1).select("field", "id", "text").mapInArrow(make, "field int, id bigint, class bigint, keys array<int>, t0 bigint, t1 bigint")
+    return values.where(F.length("text") >= 2 * least_words - 1).select("field", "id", "text").mapInArrow(make, "field int, id bigint, class bigint, digest array<smallint>, t0 bigint, t1 bigint")
 
 
 def _equal_bytes(a: str, b: str) -> F.Column:
@@ -80,19 +84,53 @@ def _equal_bytes(a: str, b: str) -> F.Column:
     return F.expr(f"8 - bit_count(({half} | shiftrightunsigned({half}, 1)) & 72340172838076673)")  # 0x01 in each byte
 
 
-def near_classes(values: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, least_words: int = LEAST_WORDS, least_equal: int = LEAST_EQUAL) -> tuple[DataFrame, DataFrame]:
+def near_classes(values: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, least_words: int = LEAST_WORDS, least_equal: int = LEAST_EQUAL, exact: bool = False) -> tuple[DataFrame, DataFrame]:
     """(members, pairs): (field, rep, id) of every record, and (field, rep_a, rep_b, similarity) of similar classes."""
-    sketched = sketch(values, shingle, least_words)
-    records = cut(sketched.groupBy("field", "id").agg(*(F.first(c).alias(c) for c in ("class", "keys", "t0", "t1"))))
-    reps = records.groupBy("field", "class").agg(F.min("id").alias("rep"), F.first("keys").alias("keys"), F.first("t0").alias("t0"), F.first("t1").alias("t1"))
-    members = records.select("field", "class", "id").join(reps.select("field", "class", "rep"), ["field", "class"]).select("field", "rep", "id")
-    # field 0..2 goes into the key, above the number of the run
-    posting = reps.select(F.explode("keys").alias("key"), "field", "rep", "t0", "t1").select((F.col("key") + F.col("field") * (1 << 29)).alias("key"), "rep", "t0", "t1")
+    spark = values.sparkSession
+    # a repeated delivery has the class of the first one, so nothing has to be dropped before the classes are made
+    sketched = cut(sketch(values, shingle, least_words))
+    grouped = sketched.groupBy("field", "class")
+    reps = grouped.agg(F.min("id").alias("rep"), *(F.first(c).alias(c) for c in ("digest", "t0", "t1")))
+    named = grouped.agg(F.min("id").alias("rep"))
+    members = sketched.select("field", "class", "id").distinct().join(named, ["field", "class"]).select("field", "rep", "id")
+    if exact:
+        return members, verify(values, cut(guaranteed_pairs(values.join(named, (values["field"] == named["field"]) & (values["id"] == named["rep"]), "left_semi"), threshold, shingle, least_words)), threshold, shingle, least_words)
+    place = lambda i: F.get("digest", (F.col("run") * RUN + i).cast("int")).cast("bigint").bitwiseAND(0xFFFF)
+    runs = reps.select("field", "rep", "t0", "t1", "digest", F.explode(F.sequence(F.lit(0), F.lit(POSITIONS // RUN - 1))).alias("run"))
+    key = F.shiftleft((F.col("run") * 4 + F.col("field")).cast("bigint"), 48) + F.shiftleft(place(0), 32) + F.shiftleft(place(1), 16) + place(2)
+    posting = runs.select(key.alias("key"), "rep", "t0", "t1")
     a, b = posting.alias("a"), posting.alias("b")
     equal = _equal_bytes("a.t0", "b.t0") + _equal_bytes("a.t1", "b.t1")
     tallied = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.rep") < F.col("b.rep")) & (equal >= least_equal))
-    pairs = tallied.select(F.shiftright("a.key", 29).alias("field"), F.col("a.rep").alias("rep_a"), F.col("b.rep").alias("rep_b")).distinct()
-    return members, verify(values, cut(pairs), threshold, shingle, least_words)
+    pairs = tallied.select(F.shiftright("a.key", 48).bitwiseAND(3).cast("int").alias("field"), F.col("a.rep").alias("rep_a"), F.col("b.rep").alias("rep_b")).distinct()
+    # both sides of the join are read
+    with partitioned(spark, 2 * sketched.count() * (POSITIONS // RUN) * POSTING_BYTES):
+        pairs = cut(pairs)
+    return members, verify(values, pairs, threshold, shingle, least_words)
+
+
+def guaranteed_pairs(values: DataFrame, threshold: float, shingle: int, least_words: int, least: int = 2) -> DataFrame:
+    """(field, rep_a, rep_b): every pair at the threshold, and others, by an index with a guaranteed count.
+
+    A pair at the threshold shares ceil(threshold x n) of the n shingles of either side at least. So among the first
+    n - ceil(threshold x n) + least shingles of both sides, in one order for all, there are ``least`` common ones: the
+    postings are these shingles, their matches are tallied per pair, and pairs below ``least`` cannot be at the threshold.
+    """
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = WordIds()
+        for batch in batches:
+            sets = _sets(batch.column("text").to_pylist(), ids, shingle, least_words)
+            kept = [(i, s[: len(s) - max(least, int(np.ceil(threshold * len(s) - 1e-9))) + least]) for i, s in enumerate(sets) if s is not None]
+            at = np.repeat([i for i, _ in kept], [len(s) for _, s in kept]).astype(np.int32)
+            flat = np.concatenate([s for _, s in kept]).astype(np.int64) if kept else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("field").take(pa.array(at)), batch.column("id").take(pa.array(at)), pa.array(flat)], ["field", "rep", "key"])
+
+    posting = values.select("field", "id", "text").mapInArrow(make, "field int, rep bigint, key bigint").distinct()
+    a, b = posting.alias("a"), posting.alias("b")
+    shared = a.join(b, (F.col("a.field") == F.col("b.field")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.rep") < F.col("b.rep")))
+    tally = shared.groupBy(F.col("a.field").alias("field"), F.col("a.rep").alias("rep_a"), F.col("b.rep").alias("rep_b")).agg(F.count("*").alias("n"))
+    return tally.where(F.col("n") >= least).drop("n")
 
 
 def verify(values: DataFrame, pairs: DataFrame, threshold: float, shingle: int, least_words: int) -> DataFrame:
