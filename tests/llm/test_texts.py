@@ -120,12 +120,12 @@ def test_near_classes_against_brute_force(spark):
     assert members.count() == pairs.count() == 0
 
 
-def test_equal_bytes(spark):
+def test_equal_halves(spark):
     rng = random.Random(2)
     rows = [(rng.getrandbits(63), rng.getrandbits(63)) for _ in range(50)]
-    rows += [(a, a ^ (0xFF << 8 * k)) for k, (a, _) in enumerate(rows[:7])] + [(0, 0), (-1, 0), (-1, -1)]
-    for r in spark.createDataFrame(rows, "a long, b long").withColumn("n", N._equal_bytes("a", "b")).collect():
-        assert r.n == sum((r.a ^ r.b) >> 8 * k & 255 == 0 for k in range(8))
+    rows += [(a, a ^ (0xF << 4 * k)) for k, (a, _) in enumerate(rows[:15])] + [(0, 0), (-1, 0), (-1, -1)]
+    for r in spark.createDataFrame(rows, "a long, b long").withColumn("n", N._equal_halves("a", "b")).collect():
+        assert r.n == sum((r.a ^ r.b) >> 4 * k & 15 == 0 for k in range(16))
 
 
 def repeated(spark, rows):

@@ -10,6 +10,7 @@ import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,6 +92,42 @@ def blocks(items: Iterable, size_of, most: int) -> Iterator[list]:
         yield out
 
 
+class Sieve:
+    """Lets pass the rows whose (field, id) may be wanted, so that the texts of others need not be shuffled.
+
+    The bits are as many whatever the data: with more wanted rows more others pass, and joins on the key decide anyway.
+    """
+
+    BITS = 2**26
+
+    def __init__(self, shared):
+        self.shared = shared
+
+    @classmethod
+    def _places(cls, batch) -> np.ndarray:
+        x = batch.column("id").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) * _STEP + batch.column("field").to_numpy(zero_copy_only=False).astype(np.uint64)
+        x ^= x >> np.uint64(29)
+        x *= _MIX
+        return (x >> np.uint64(38)).astype(np.int64)
+
+    @classmethod
+    def of(cls, wanted: DataFrame) -> "Sieve":
+        """From rows (field, id); at most BITS / 64 words come to the driver."""
+        def words(batches):
+            for batch in batches:
+                at = np.unique(cls._places(batch))
+                yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array((np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64))], ["word", "bits"])
+
+        made = wanted.select("field", "id").mapInArrow(words, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+        bits = np.zeros(cls.BITS // 64, np.uint64)
+        bits[made.column("word").to_numpy()] = made.column("bits").to_numpy().view(np.uint64)
+        return cls(wanted.sparkSession.sparkContext.broadcast(bits))
+
+    def kept(self, batch):
+        at = self._places(batch)
+        return batch.filter(pa.array((self.shared.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) != 0))
+
+
 def text_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(field, id, ds_name, question, text) of every chosen, rejected and response; ``field`` is the place in FIELDS.
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import WordIds, blocks, field_name, ids_of, minhash, multipliers, shingle_hashes, text_values, words_of
+from tracemill.llm.common import Sieve, WordIds, blocks, field_name, ids_of, minhash, multipliers, shingle_hashes, text_values, words_of
 from tracemill.operators.components import connected_components
 from tracemill.session import cut, partitioned
 
@@ -36,7 +36,7 @@ POSITIONS, RUN, TALLY = 72, 3, 16
 THRESHOLD, SHINGLE, LEAST_WORDS, LEAST_EQUAL = 0.6, 3, 30, 4
 _SEED = 20_240_601
 #: About what a posting takes in a shuffle, in bytes.
-POSTING_BYTES = 26
+POSTING_BYTES = 20
 
 
 def _sets(texts: list[str | None], ids: WordIds, shingle: int, least_words: int) -> list[np.ndarray | None]:
@@ -50,7 +50,7 @@ def _sets(texts: list[str | None], ids: WordIds, shingle: int, least_words: int)
 
 
 def sketch(values: DataFrame, shingle: int = SHINGLE, least_words: int = LEAST_WORDS) -> DataFrame:
-    """(field, id, class, digest, t0, t1): ``class`` names the set, ``digest`` has its places, t0 and t1 the tallied bytes."""
+    """(field, id, class, digest, tally): ``class`` names the set, ``digest`` has its places, ``tally`` the half-bytes to be counted."""
     mult = multipliers(POSITIONS, _SEED)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,24 +64,23 @@ def sketch(values: DataFrame, shingle: int = SHINGLE, least_words: int = LEAST_W
                 at += [i for i, _ in part]
                 classes += [np.int64(np.uint64(xxhash.xxh64_intdigest(s.tobytes())).astype(np.int64)) for _, s in part]
                 digests.append(digest.view(np.int16))
-                low = (digest & 0xFF).astype(np.uint8)
-                tallies.append(np.ascontiguousarray(low[:, :: POSITIONS // TALLY][:, :TALLY]).view(np.int64))
+                half = (digest[:, :: POSITIONS // TALLY][:, :TALLY] & 0xF).astype(np.uint64)
+                tallies.append((half << np.arange(0, 4 * TALLY, 4, dtype=np.uint64)).sum(1, dtype=np.uint64).view(np.int64))
             if not at:
                 continue
             digest, tally = np.concatenate(digests), np.concatenate(tallies)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, digest.size + 1, POSITIONS, dtype=np.int32)), pa.array(digest.ravel()))
             taken = pa.array(at, pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("field").take(taken), batch.column("id").take(taken), pa.array(np.array(classes, np.int64)), lists, pa.array(tally[:, 0]), pa.array(tally[:, 1])], ["field", "id", "class", "digest", "t0", "t1"])
+            yield pa.RecordBatch.from_arrays([batch.column("field").take(taken), batch.column("id").take(taken), pa.array(np.array(classes, np.int64)), lists, pa.array(tally)], ["field", "id", "class", "digest", "tally"])
 
-    return values.where(F.length("text") >= 2 * least_words - 1).select("field", "id", "text").mapInArrow(make, "field int, id bigint, class bigint, digest array<smallint>, t0 bigint, t1 bigint")
+    return values.where(F.length("text") >= 2 * least_words - 1).select("field", "id", "text").mapInArrow(make, "field int, id bigint, class bigint, digest array<smallint>, tally bigint")
 
 
-def _equal_bytes(a: str, b: str) -> F.Column:
-    """Number of equal bytes of two 8-byte values, by arithmetic that code generation covers."""
+def _equal_halves(a: str, b: str) -> F.Column:
+    """Number of equal half-bytes of two 8-byte values, by arithmetic that code generation covers."""
     x = f"({a} ^ {b})"
-    fold = f"(({x} | shiftrightunsigned({x}, 4)) & 1085102592571150095)"  # 0x0f in each byte: not zero where the byte is not
-    half = f"({fold} | shiftrightunsigned({fold}, 2))"
-    return F.expr(f"8 - bit_count(({half} | shiftrightunsigned({half}, 1)) & 72340172838076673)")  # 0x01 in each byte
+    fold = f"({x} | shiftrightunsigned({x}, 2))"
+    return F.expr(f"16 - bit_count(({fold} | shiftrightunsigned({fold}, 1)) & 1229782938247303441)")  # 0x1 in each half-byte
 
 
 def near_classes(values: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, least_words: int = LEAST_WORDS, least_equal: int = LEAST_EQUAL, exact: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -90,18 +89,17 @@ def near_classes(values: DataFrame, threshold: float = THRESHOLD, shingle: int =
     # a repeated delivery has the class of the first one, so nothing has to be dropped before the classes are made
     sketched = cut(sketch(values, shingle, least_words))
     grouped = sketched.groupBy("field", "class")
-    reps = grouped.agg(F.min("id").alias("rep"), *(F.first(c).alias(c) for c in ("digest", "t0", "t1")))
+    reps = grouped.agg(F.min("id").alias("rep"), *(F.first(c).alias(c) for c in ("digest", "tally")))
     named = grouped.agg(F.min("id").alias("rep"))
     members = sketched.select("field", "class", "id").distinct().join(named, ["field", "class"]).select("field", "rep", "id")
     if exact:
         return members, verify(values, cut(guaranteed_pairs(values.join(named, (values["field"] == named["field"]) & (values["id"] == named["rep"]), "left_semi"), threshold, shingle, least_words)), threshold, shingle, least_words)
     place = lambda i: F.get("digest", (F.col("run") * RUN + i).cast("int")).cast("bigint").bitwiseAND(0xFFFF)
-    runs = reps.select("field", "rep", "t0", "t1", "digest", F.explode(F.sequence(F.lit(0), F.lit(POSITIONS // RUN - 1))).alias("run"))
+    runs = reps.select("field", "rep", "tally", "digest", F.explode(F.sequence(F.lit(0), F.lit(POSITIONS // RUN - 1))).alias("run"))
     key = F.shiftleft((F.col("run") * 4 + F.col("field")).cast("bigint"), 48) + F.shiftleft(place(0), 32) + F.shiftleft(place(1), 16) + place(2)
-    posting = runs.select(key.alias("key"), "rep", "t0", "t1")
+    posting = runs.select(key.alias("key"), "rep", "tally")
     a, b = posting.alias("a"), posting.alias("b")
-    equal = _equal_bytes("a.t0", "b.t0") + _equal_bytes("a.t1", "b.t1")
-    tallied = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.rep") < F.col("b.rep")) & (equal >= least_equal))
+    tallied = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.rep") < F.col("b.rep")) & (_equal_halves("a.tally", "b.tally") >= least_equal))
     pairs = tallied.select(F.shiftright("a.key", 48).bitwiseAND(3).cast("int").alias("field"), F.col("a.rep").alias("rep_a"), F.col("b.rep").alias("rep_b")).distinct()
     # both sides of the join are read
     with partitioned(spark, 2 * sketched.count() * (POSITIONS // RUN) * POSTING_BYTES):
@@ -135,11 +133,13 @@ def guaranteed_pairs(values: DataFrame, threshold: float, shingle: int, least_wo
 
 def verify(values: DataFrame, pairs: DataFrame, threshold: float, shingle: int, least_words: int) -> DataFrame:
     """The pairs whose exact shingle sets have the similarity, with it."""
-    wanted = pairs.select("field", F.explode(F.array("rep_a", "rep_b")).alias("id")).distinct()
+    wanted = pairs.select("field", F.explode(F.array("rep_a", "rep_b")).alias("id"))
+    sieve = Sieve.of(wanted)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = WordIds()
         for batch in batches:
+            batch = sieve.kept(batch)
             made = _sets(batch.column("text").to_pylist(), ids, shingle, least_words)
             at = pa.array([i for i, s in enumerate(made) if s is not None], pa.int32())
             kept = [s.astype(np.int64) for s in made if s is not None]
@@ -147,7 +147,7 @@ def verify(values: DataFrame, pairs: DataFrame, threshold: float, shingle: int,
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(kept) if kept else np.empty(0, np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column("field").take(at), batch.column("id").take(at), lists], ["field", "id", "set"])
 
-    chosen = values.select("field", "id", "text").join(wanted, ["field", "id"], "left_semi").mapInArrow(sets, "field int, id bigint, set array<bigint>").dropDuplicates(["field", "id"])
+    chosen = values.select("field", "id", "text").mapInArrow(sets, "field int, id bigint, set array<bigint>").dropDuplicates(["field", "id"])
     left = pairs.join(chosen.withColumnsRenamed({"id": "rep_a", "set": "set_a"}), ["field", "rep_a"])
     both = left.join(chosen.withColumnsRenamed({"id": "rep_b", "set": "set_b"}), ["field", "rep_b"])
     shared = F.size(F.array_intersect("set_a", "set_b"))
