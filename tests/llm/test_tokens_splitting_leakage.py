@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tracemill.llm import leakage as L
+from tracemill.llm.common import WordIds
 from tracemill.llm import splitting as S
 from tracemill.llm import tokens as T
 from tracemill.llm.common import words_of
@@ -85,11 +86,53 @@ def test_hamming_index_finds_everything_within_the_radius():
     assert set(zip(a.tolist(), b.tolist())) == want and len(a) == len(want)
 
 
+def test_hamming_index_with_inner_radius_loses_nothing(monkeypatch):
+    monkeypatch.setattr(L.HammingIndex, "MOST", 50)
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**64, 60, np.uint64, endpoint=False)
+    near = np.array([int(x) ^ sum(1 << int(b) for b in rng.choice(64, k % 14, replace=False)) for k, x in enumerate(base)], np.uint64)
+    a, b = L.HammingIndex(base, 11, 4).near(near)
+    want = {(i, j) for i in range(60) for j in range(60) if bin(int(near[i] ^ base[j])).count("1") <= 11}
+    assert set(zip(a.tolist(), b.tolist())) == want and len(a) == len(want) > 40
+
+
 def test_simhash_of_equal_windows_is_equal():
     ids = np.random.default_rng(2).integers(0, 2**63, 40, np.uint64)
-    prints = L.simhash_windows(ids, 12)
-    assert len(prints) == 29 and prints[5] == L.simhash_windows(ids[5:17], 12)[0]
-    assert len(L.simhash_windows(ids[:11], 12)) == 0
+    prints = L.simhash_at(L.bit_sums(ids), np.arange(29), 12)
+    assert len(prints) == 29 and prints[5] == L.simhash_at(L.bit_sums(ids[5:17]), np.arange(1), 12)[0]
+
+
+def test_sizes_of_windows():
+    for n in range(200):
+        size = L.item_size(n)
+        assert size == 0 or size == n < 12 or 24 <= size <= n - L.STRIDE + 1 and size > 0.7 * (n - L.STRIDE)
+
+
+def test_recall_of_altered_items():
+    """Items with one or two changed words, and such with a word put in or left out, against brute force over all places."""
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(2000)]
+    items = {i: rng.choices(vocabulary, k=rng.randint(43, 110)) for i in range(80)}
+    block = L.ItemBlock([(i, " ".join(w)) for i, w in items.items()], 12, 2)
+    alone = L.ItemBlock([(i, " ".join(w)) for i, w in items.items()], 12, 2)
+    alone.indexes = [x for x in alone.indexes if x[0] > 12]  # item-sized windows only
+    texts, want = [], set()
+    for row, (i, w) in enumerate(items.items()):
+        w = list(w)
+        for place in rng.sample(range(len(w)), 1 + row % 2):
+            w[place] = "other"
+        if row % 5 == 0:
+            w.insert(rng.randrange(len(w)), "more")
+        text = rng.choices(vocabulary, k=rng.randint(0, 90)) + w + rng.choices(vocabulary, k=rng.randint(0, 90))
+        texts.append(" ".join(text))
+        whole = L.weighted_shingles(items[i])
+        if any(L.similarity_of(L.weighted_shingles(text[p : p + len(items[i])]), whole) >= 0.8 for p in range(len(text))):
+            want.add((row, i))
+    found = lambda b: {(r, i) for r, i, run, share, alike in L._scan(b, WordIds(), texts, 0.8) if alike >= 0.8}
+    assert len(want) > 40 and found(block) == want
+    assert len(found(alone) & want) >= 0.9 * len(want)
+    # every one of them is reported, below the similarity too, as a part of it is whole
+    assert {(r, i) for r, i, *_ in L._scan(block, WordIds(), texts, 0.8)} >= {(i, i) for i in range(80)}
 
 
 def test_leaks(spark, monkeypatch):
