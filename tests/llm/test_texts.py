@@ -9,7 +9,7 @@ from tracemill.llm import neardup as N
 from tracemill.llm import repetition as R
 from tracemill.llm import truncation as U
 from tracemill.llm.common import language_of, words_of
-from tracemill.llm.endings import cut_reason, still_open
+from tracemill.llm.endings import cut_reason, still_open, terminality
 
 Q = "What is the mean of Norba, Vesk and Luma?\nGive one short value."
 
@@ -20,6 +20,9 @@ Q = "What is the mean of Norba, Vesk and Luma?\nGive one short value."
     ("What is the mean of Norba, Vesk and Luma?", Q, "copy"), ("WHAT IS THE MEAN OF NORBA, VESK AND LUMA ?", Q, "copy"), ("Q: What is mean of Norba, Vesk and Luma", Q, "copy"),
     ("What is the mean of Norba, Vesk and Luma?\nIt is 12.", Q, None), ("What is the mean of Norba, Vesk and Luma?", None, None),
     ("I'm sorry, but I can't help with that.", Q, "refusal"), ("Das kann ich leider nicht beantworten.", "Wie groß ist der Wert von Norba?", "refusal"), ("Je préfère ne pas répondre.", Q, "refusal"), ("No puedo ayudar con esto.", None, "refusal"),
+    ("My training prevents me from answering that.", Q, "refusal"), ("My rules forbid me to answer this.", Q, "refusal"), ("Ma formation m'interdit de répondre.", "Combien vaut la barre ?", "refusal"),
+    ("I'm sorry, but I cannot help with this request. " + "It touches on matters that I would rather leave to people who know the field and who can look at the picture in front of them. " * 5, Q, "refusal"),
+    ("I cannot see the inset clearly, yet the tick fixes it at 35. The flow stays below 8.", Q, None), ("\u200b" * 500, Q, "empty"), (" \u2060\ufeff" * 300, Q, "empty"),
     ("I cannot be sure, but the figure shows 12 and 14, so the mean is 13.\nFinal answer: 13", Q, None),
     ("The sum is 12. Dividing it by th", Q, "truncated"), ("The sum is 12. Dividing it by three gives 4.", Q, None), ("The sum of the two is 12.\nThe answer is", Q, "truncated"), ("The sum of the two is 12.\nThe answer is 4", Q, None),
     ("La somme de 3 et 4 donne 7. Il faut donc garder la valeur de la barre.", Q, "wrong_language"), ("La somme de 3 et 4 donne 7. Il faut donc garder la valeur.", Q.split("\n")[0] + " Please reply in French.", None),
@@ -36,14 +39,24 @@ STEP = "<|reasoning_start|>\n<|reasoning_step_start|>\n<|reasoning_step_thought_
     (None, False), ("", False), ("   ", False), (STEP + "<|reasoning_end|>\nAnswer:\n<|answer_start|>12<|answer_end|>", False), (STEP + "Answer:\n<|answer_start|>12<|answer_end|>", False),
     (STEP + "<|reasoning_pro", True), (STEP + "<|reasoning_step_start|>\n<|reasoning_step_thought_start|>Then the ba", True), (STEP.replace("12.", "tw") + "<|reasoning_end|>\nAnswer:\n<|answer_start|>12<|answer_end|>", True),
     ("The bar ends near the�", True), ("The bar ends near the l...", True), ("The value is twelve…", True), ("Well, that is all …", True), ("1. Read the chart: It is 12.\n$$\\boxed{12", True), ("1. Read the chart: It is 12.\n$$\\boxed{12}$$", False),
+    ("We run this:\n```python\nprint(1).", True), ("We run this:\n```python\nprint(1)\n```\nThat prints 1.", False), ('He said "the value is near twelve.', True), ("The points are (34, 20.", True), ("We list the values (first\nsecond and\nthird.", True),
+    ("1. Do this.\n2. Then that.\n3.", True), ("- a thing\n- another\n-", True), ("Final answer:\n12.", False), ("The set is [0, 1) here.", False), ("We have a) one and b) two.", False), ('The caption reads "x here. Row 332 is fine.', False), ('It is 5" long.', False),
+    ("\\begin{align} x = 1.", True), ("\\begin{align} x = 1 \\end{align} holds.", False), ("The point (-7, Norba lies to the left of the red bar.", False),
     ("It is 12.\n(Result: 12", True), ("It is 12.\n(Result: 12)", False), ("It is 12.\n**Answer:** B", False), ("Therefore, 12 cm.", False), ("x" * 100_000 + ".", False),
 ])
 def test_endings(text, cut):
     assert bool(cut_reason(text)) is cut
 
 
+def test_terminality():
+    score = lambda t: terminality(t, cut_reason(t))
+    assert score("It ends here.") == 1.0 > score("It is so.\nFinal answer: 12") > score("12 cm") > 0.5 > score("It ends at the bar of red") > score("It ends at the bar of the")
+    assert score(None) is score("  ") is None
+
+
 def test_pushdown():
     assert still_open("a (b [c") == ["(", "["] and still_open("```\n(x") == ["```"] and still_open('say "x" (y)') == []
+    assert still_open("<b>x <i>y</i>") == ["<b>"] and still_open("\\[ x") == ["\\["] and still_open("$$x$$ **y") == ["**"] and still_open("“a «b» ( c”") == []
 
 
 def test_aligned_cut():
@@ -82,6 +95,28 @@ def test_cut_from_a_value_that_is_not_the_longest(spark, tmp_path):
     assert {r.record_id for r in D.p3_found(spark, str(tmp_path)).where("defect = 'truncated'").collect()} == {3, 5} == {r.record_id for r in U.p4_found(spark, str(tmp_path)).collect()}
 
 
+def test_recall_of_alignment(spark):
+    """Values cut inside a closing word or number, which look whole, from originals that are edited, shared, and never the longest."""
+    rng = random.Random(21)
+    word = lambda: rng.choice(["bar", "chart", "line", "label", "unit", "axis", "tick", "curve"]) + rng.choice("abcdefghijklmnop")
+    rows, planted = [], set()
+    for k in range(60):
+        start = [word() for _ in range(rng.randint(25, 220))]
+        edited = list(start)
+        for _ in range(len(start) // 40):
+            edited[rng.randrange(len(start) - 8)] = word()
+        end = [f"Final answer: {word()}{word()}", f"It ends at {rng.randint(10, 99)}.{rng.randint(10, 99)} units."][k % 2]
+        cut_at = end.index(".") + 1 if k % 2 else len(end) - rng.randint(3, 5)
+        longest = start + [word() for _ in range(400)]
+        rows += [(2, 10 * k, " ".join(start) + ".\n" + end), (2, 10 * k + 1, " ".join(edited) + ".\n" + end[:cut_at]), (2, 10 * k + 2, " ".join(longest) + ".")]
+        rows += [(2, 10 * k + 3, " ".join(start) + ".\nFinal answer: 12")]
+        planted.add((2, 10 * k + 1))
+    df = values(spark, rows)
+    assert not any(cut_reason(t) for _, i, t in rows)
+    got = {(r.field, r.id) for r in U.cut_values(df).where("reason IS NOT NULL").collect()}
+    assert got <= planted and len(got) >= 0.9 * len(planted)
+
+
 def test_flags_of_empty_and_repeated_tables(spark):
     df = values(spark, [(0, 1, ""), (0, 1, ""), (1, 1, "fine.")])
     assert [(r.field, r.id, r.defect) for r in D.flag_defects(df).collect()] == [(0, 1, "empty")]

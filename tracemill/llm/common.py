@@ -103,9 +103,9 @@ class Sieve:
     def __init__(self, shared):
         self.shared = shared
 
-    @classmethod
-    def _places(cls, batch) -> np.ndarray:
-        x = batch.column("id").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) * _STEP + batch.column("field").to_numpy(zero_copy_only=False).astype(np.uint64)
+    @staticmethod
+    def places(ids: np.ndarray, field) -> np.ndarray:
+        x = ids.astype(np.int64).view(np.uint64) * _STEP + np.asarray(field).astype(np.uint64)
         x ^= x >> np.uint64(29)
         x *= _MIX
         return (x >> np.uint64(38)).astype(np.int64)
@@ -115,17 +115,20 @@ class Sieve:
         """From rows (field, id); at most BITS / 64 words come to the driver."""
         def words(batches):
             for batch in batches:
-                at = np.unique(cls._places(batch))
-                yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array((np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64))], ["word", "bits"])
+                at = np.unique(cls.places(batch.column("id").to_numpy(zero_copy_only=False), batch.column("field").to_numpy(zero_copy_only=False)))
+                yield pa.RecordBatch.from_arrays([pa.array(at >> 6, pa.int64()), pa.array((np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64))], ["word", "bits"])
 
         made = wanted.select("field", "id").mapInArrow(words, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
         bits = np.zeros(cls.BITS // 64, np.uint64)
         bits[made.column("word").to_numpy()] = made.column("bits").to_numpy().view(np.uint64)
         return cls(wanted.sparkSession.sparkContext.broadcast(bits))
 
+    def has(self, ids: np.ndarray, field) -> np.ndarray:
+        at = self.places(ids, field)
+        return (self.shared.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) != 0
+
     def kept(self, batch):
-        at = self._places(batch)
-        return batch.filter(pa.array((self.shared.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) != 0))
+        return batch.filter(pa.array(self.has(batch.column("id").to_numpy(zero_copy_only=False), batch.column("field").to_numpy(zero_copy_only=False))))
 
 
 def text_values(spark: SparkSession, sf_dir: str) -> DataFrame:

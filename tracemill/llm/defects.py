@@ -27,11 +27,14 @@ _LABEL = re.compile(r"(?i)\b(?:final )?(?:answer|response|réponse|respuesta|ant
 NOTHING = {"null", "none", "nan", "nil", "n/a", "na", "undefined", "#n/a", "<null>", "(empty)", "empty"}
 
 
+_MANY = re.compile(r"(?:[\W_]*[^\W_]){41}")
+
+
 def is_empty(text: str | None) -> bool:
     """Null, or nothing that could be an answer: blanks, marks, a label, signs of a missing value, lone punctuation."""
     if text is None:
         return True
-    if len(text) > 400 and not text.isspace() and "<|" not in text:
+    if "<|" not in text and _MANY.match(text):  # more letters and figures than any label or sign of a missing value has
         return False
     bare = INVISIBLE.sub(" ", MARK.sub(" ", text)).strip()
     bare = _LABEL.sub("", bare).strip() if len(bare) < 40 else bare
@@ -136,37 +139,38 @@ REFUSAL = _families(
     # Chinese
     r"(?:我|本人)?(?:无法|不能|不便|不会|拒绝)(?:回答|协助|帮助|提供|查看|完成|处理|讨论)|超出(?:了)?我的|抱歉.{0,20}(?:无法|不能)",
 )
-#: Each sentence of the grammar holds one of these.
-_STEMS = (
-    ["not ", "n't", "n’t", "cannot", "unable", "declin", "refus", "skip", "abstain", "beyond", "outside", "exceed", "competence", "against", "violat", "contrary", "guideline", "polic", "no way", "denied", "rejected", "supported", "no answer", "no solution", "no response", "no help", "no reply", "nothing to offer", "ask a ", "ask your", "ask human", "consult", "contact", "teacher", "talk about something", "something i ", "sorry", "afraid", "apolog", "i pass", "prefer"]
-    + [" pas", "préfère", "décline", "impossible", "incapable", "consignes", "règles", "principes", "relève", "hors de", "au-delà", "dépasse", "aucun", "demander", "arrêt", "adresser", "rejetée"]
-    + ["nicht", "kein", "lehne", "verweiger", "verstö", "gegen meine", "endet mein", "übersteigt", "außerhalb", "fragen sie", "wenden sie", "abgelehnt", "leider", "ablehn", "passen"]
-    + ["no pued", "no podr", "no me ", "no estoy", "no soy", "no debo", "no quiero", "no voy", "no tengo", "no dispongo", "prefiero", "rechaz", "declin", "imposible", "contra mis", "contra de mis", "fuera de mis", "más allá", "termina", "acaban", "de mi parte", "solicitud", "mis normas", "mis directrices", "mis reglas", "pasar"]
-    + ["无法", "不能", "不便", "不会", "拒绝", "超出", "抱歉"]
-)
 _REAL_ANSWER = re.compile(r"\\boxed|(?i:\b(?:final answer|answer is|answer:|result:|réponse :|réponse est|respuesta:|respuesta es|antwort:|antwort lautet))|答案")
 
 
 _FIGURES = re.compile(r"\d+(?:[.,]\d+)?")
 
 
-def is_refusal(text: str, most_words: int = 60) -> bool:
-    """A short value that declines; a value that goes on to an answer, or reckons, only words itself carefully."""
-    if len(text) > 7 * most_words + (400 if "<|" in text else 0):
-        return False
+_SENTENCES = re.compile(r"(?<=[.!?。！？])\s*")
+#: A sentence that admits a difficulty and goes on to a figure does not decline.
+_HEDGED = re.compile(r"(?i)\b(?:yet|but|still|however|though|nevertheless|mais|pourtant|cependant|toutefois|aber|doch|jedoch|dennoch|pero|sin embargo|aunque)\b.*\d|(?:但|不过).*\d", re.S)
+
+
+def is_refusal(text: str, most_figures: int = 5, long: int = 60) -> bool:
+    """A value that declines; one that goes on to an answer, or reckons, only words itself carefully.
+
+    A value of more than ``long`` words has to decline in its first or last sentence: an inability that is admitted on
+    the way belongs to an answer.
+    """
     bare = MARK.sub(" ", text) if "<|" in text else text
-    if len(_FIGURES.findall(bare)) > 5:  # a value that reckons
+    if len(_FIGURES.findall(bare)) > most_figures:  # a value that reckons
+        return False
+    if _REAL_ANSWER.search(bare.replace("Answer:", "", 1) if "<|" in text else bare):
         return False
-    low = bare.lower()
-    # a stem first: the grammar is only tried on values that can hold one of its sentences
-    if not any(x in low for x in _STEMS) or not REFUSAL.search(bare.replace("’", "'")):
+    bare = bare.replace("’", "'")
+    if not REFUSAL.search(bare):
         return False
-    words = WORD.findall(bare)
-    if len(words) > most_words or _REAL_ANSWER.search(bare.replace("Answer:", "", 1) if "<|" in text else bare):
+    sentences = [s for s in _SENTENCES.split(bare) if s.strip()]
+    said = [bool(REFUSAL.search(s)) for s in sentences]
+    declines = [x and not _HEDGED.search(s) for s, x in zip(sentences, said)]
+    if any(said) and not any(declines) or len(WORD.findall(bare)) > long and any(said) and not (declines[0] or declines[-1]):
         return False
     # sentences that do something else than refuse: figures in them belong to an answer
-    rest = [s for s in re.split(r"(?<=[.!?。！？])\s*", bare) if s.strip() and not REFUSAL.search(s.replace("’", "'"))]
-    return sum(len(re.findall(r"\d+", s)) for s in rest) < 2
+    return sum(len(re.findall(r"\d+", s)) for s, x in zip(sentences, said) if not x) < 2
 
 
 _QUOTED = re.compile(r"\"[^\"\n]{0,400}\"|“[^”\n]{0,400}”|«[^»\n]{0,400}»|「[^」\n]{0,400}」|```.*?```", re.S)

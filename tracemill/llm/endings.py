@@ -1,7 +1,8 @@
 """How a value ends: the pushdown parser and the closing-word test that problems 3 and 4 share.
 
-The parser reads marks ``<|...|>``, fences, display maths, brackets and quotations with one stack and says what is still
-open at the end. The closing-word test looks at the last written line: full stops end it, closing statements of an
+The parser reads fences, displayed maths, environments, markup, bold marks, brackets and quotations of a whole text with
+one stack and says what is still open at its end; marks ``<|...|>`` have a stack of their own, and list items that are
+announced by their sign only count as open too. The closing-word test looks at the last written line: full stops end it, closing statements of an
 answer ("final answer: 12", "\\boxed{B}") and short direct answers are complete without one, and everything else that
 runs up to the end was cut. A lost mark alone is no cut.
 """
@@ -29,45 +30,116 @@ VALUE_WORDS = 6
 _LINKS = {w for x in FUNCTION_WORDS.values() for w in x}
 _SHORT_ANSWER_WORDS = 4
 _HEAD = re.compile(r"^\s*(?:[-*•]|\d+[.)]|#+)\s+")
-_PAIRS = {")": "(", "]": "[", "}": "{", "」": "「", "』": "『", "）": "（", "”": "“", "»": "«"}
+#: Closing signs with what they close.
+_PAIRS = {")": "(", "]": "[", "}": "{", "」": "「", "』": "『", "）": "（", "】": "【", "”": "“", "»": "«"}
 _OPEN = set(_PAIRS.values())
+#: What the parser reads: fences, maths, environments, markup, bold marks, brackets, quotations.
+_TOKEN = re.compile(r"(?m)^[ \t]*(```+|~~~+)|(\$\$|\*\*)|\\(begin|end)\{(\w+\*?)\}|\\([()\[\]])|<(/?)(table|thead|tbody|tr|td|th|ul|ol|li|code|pre|b|i|em|strong|p|div|span|math|sub|sup)(?:\s[^<>]*)?>|([()\[\]{}「」『』（）【】“”«»])|(\")")
+_VOID = {"li", "p", "td", "th", "tr", "thead", "tbody"}  # may be left open in markup
+_ITEM = re.compile(r"(?m)^[ \t]*(?:(\d{1,3})[.)]|([-*•]))(?=\s|$)")
 
 
-def still_open(text: str) -> list[str]:
-    """What a text leaves open at its end: fences, display maths, bold marks, brackets and quotations, outermost first."""
-    stack: list[str] = []
-    i, n = 0, len(text)
-    while i < n:
-        c = text[i]
-        if c == "`" and text.startswith("```", i):
-            _toggle(stack, "```")
-            i += 3
-            continue
-        if stack and stack[-1] == "```":
-            i += 1
+def open_marks(text: str) -> list[tuple[str, int]]:
+    """(mark, place) of what a text leaves open at its end, outermost first: a pushdown parser over the whole text.
+
+    Fences hide what is inside them. A closing sign closes what is innermost of its kind and drops what was opened inside
+    and never closed; one that closes nothing is skipped, so list letters like ``a)`` do no harm. A round bracket may close
+    a square one of the same line, as in half-open intervals. A straight quotation mark opens in front of a word and
+    closes behind one; anything else (inches, seconds) is no quotation.
+    """
+    stack: list[tuple[str, int]] = []
+
+    def close(mark: str) -> bool:
+        for k in range(len(stack) - 1, -1, -1):
+            if stack[k][0] == mark:
+                del stack[k:]
+                return True
+        return False
+
+    for m in _TOKEN.finditer(text):
+        fence, twice, env, name, maths, slash, tag, sign, quote = m.groups()
+        if fence:
+            if not close("```"):
+                stack.append(("```", m.start()))
             continue
-        if c == "$" and text.startswith("$$", i) or c == "*" and text.startswith("**", i):
-            _toggle(stack, c + c)
-            i += 2
+        if stack and stack[-1][0] == "```":
             continue
-        if c in _OPEN:
-            stack.append(c)
-        elif c in _PAIRS:
-            if _PAIRS[c] in stack:  # what was opened inside and not closed is dropped with it
-                while stack.pop() != _PAIRS[c]:
-                    pass
-        elif c == '"':
-            _toggle(stack, c)
-        i += 1
+        if twice:
+            if not close(twice):
+                stack.append((twice, m.start()))
+        elif env:
+            if env == "begin":
+                stack.append((f"\\begin{{{name}}}", m.start()))
+            else:
+                close(f"\\begin{{{name}}}")
+        elif maths:
+            if maths in "([":
+                stack.append(("\\" + maths, m.start()))
+            else:
+                close("\\" + _PAIRS[maths])
+        elif tag:
+            tag = tag.lower()
+            if slash:
+                close(f"<{tag}>")
+            elif tag not in _VOID:
+                stack.append((f"<{tag}>", m.start()))
+        elif sign:
+            if sign in _OPEN:
+                stack.append((sign, m.start()))
+            elif not close(_PAIRS[sign]) and sign in ")]" and stack and stack[-1][0] in "[(" and "\n" not in text[stack[-1][1] : m.start()]:
+                stack.pop()
+        else:
+            before, after = text[m.start() - 1 : m.start()], text[m.end() : m.end() + 1]
+            if (not before or not before.isalnum()) and after and not after.isspace() and not any(x == '"' for x, _ in stack):
+                stack.append(('"', m.start()))
+            elif before and not before.isspace():
+                close('"')
     return stack
 
 
-def _toggle(stack: list[str], mark: str) -> None:
-    if mark in stack:
-        while stack.pop() != mark:
-            pass
-    else:
-        stack.append(mark)
+def still_open(text: str) -> list[str]:
+    return [x for x, _ in open_marks(text)]
+
+
+_COUNTED = ("```", "~~~", "$$", "**", '"')
+_SENTENCE_END = re.compile(r"[.!?。！？][\"'”’»)\]」』*_]*\s+(?=[A-ZÀ-ÞА-Я\u4e00-\u9fff])|[。！？](?=\s*\S)|\n\s*\n|\n(?=[ \t]*(?:[-*•]|\d{1,3}[.)])\s)")
+
+
+def unclosed(text: str, closed: bool = False) -> str | None:
+    """What an otherwise finished text leaves open in a way that only a cut explains.
+
+    Fences, displayed formulas and environments have to be closed. A single bracket, quotation, bold mark or tag counts
+    where the sentence that opens it runs up to the end, a bracket only if its line ends before it closes or the text
+    within three words; a sign lost in an earlier sentence, or several of them, only shows careless writing, and so does
+    any in a text that its own mark closes (``closed``).
+    """
+    paired = all(text.count(a) == text.count(b) for b, a in _PAIRS.items())
+    if paired and "\\begin" not in text and not any(text.count(x) % 2 for x in _COUNTED) and not ("<" in text and "</" in text):
+        return None
+    stack = open_marks(text)
+    for mark, _ in stack:
+        if mark in ("```", "$$") or mark.startswith("\\"):
+            return "open " + mark
+    if len(stack) == 1 and not closed:
+        mark, place = stack[0]
+        tail = text[place + len(mark) :].rstrip()
+        if mark in _OPEN and mark not in "“«" and "\n" not in tail and len(WORD.findall(tail)) > 3:
+            return None
+        if tail and not _SENTENCE_END.search(tail) and not CLOSING.search(tail):
+            return "open " + mark
+    return None
+
+
+def bare_item(text: str) -> bool:
+    """Whether a text ends in the sign of the next list item, with nothing behind it."""
+    last = None
+    for last in _ITEM.finditer(text):
+        pass
+    if last is None or text[last.end() :].strip():
+        return False
+    if last.group(2):
+        return bool(re.search(r"(?m)^[ \t]*" + re.escape(last.group(2)) + r"\s+\S", text[: last.start()]))
+    return bool(re.search(rf"(?m)^[ \t]*{int(last.group(1)) - 1}[.)]\s+\S", text[: last.start()]))
 
 
 def _line_is_cut(line: str, only: bool) -> str | None:
@@ -132,10 +204,32 @@ def cut_reason(text: str | None) -> str | None:
         return _tagged(core, shortened is not None)
     at = max(core.rfind("\n"), core.rfind("\r"))
     line = _HEAD.sub("", core[at + 1 :]) if at >= 0 or core[:1] in "-*#•" or core[:1].isdigit() and re.match(r"\d+[.)] \S+ \S", core) else core
+    if len(core) - at < 12 and bare_item(core):
+        return "list"
     if not line.strip():
         return None
     # the line keeps what was written behind the cut
-    return _line_is_cut(line.strip() + (body[len(core) :] if shortened else ""), at < 0)
+    return _line_is_cut(line.strip() + (body[len(core) :] if shortened else ""), at < 0) or unclosed(core)
+
+
+#: What each kind of end scores; every other reason for a cut scores nothing.
+_SCORES = {"sentence": 0.2, "word": 0.1, "last step": 0.2, "no value": 0.1, "list": 0.1}
+
+
+def terminality(text: str | None, reason: str | None) -> float | None:
+    """How much the closing words of a value look like its end, from 0 to 1; below a half it was cut (``reason``). Null for blanks.
+
+    A full stop scores most, a closing statement without one less, a short direct answer least; among cut values a
+    function word at the end scores a quarter of any other.
+    """
+    if text is None or not text.strip():
+        return None
+    tail = ANY_MARK.sub(" ", text[-200:]).rstrip()
+    if reason is None:
+        return 1.0 if TERMINAL.search(tail) else 0.9 if CLOSING.search(tail) else 0.7
+    words = WORD.findall(tail.lower())
+    score = _SCORES.get(reason, 0.4 if reason.startswith("open") and TERMINAL.search(tail) else 0.0)
+    return score / 4 if words and words[-1] in _LINKS else score
 
 
 def _tagged(core: str, shortened: bool) -> str | None:
@@ -184,5 +278,5 @@ def _last_step(core: str, marks: list[re.Match], before: int) -> str | None:
         if inside:
             if marks[k].group(1).strip().endswith("name_start"):
                 return None
-            return "last step" if _line_is_cut(inside.splitlines()[-1].strip(), False) else None
+            return "last step" if _line_is_cut(inside.splitlines()[-1].strip(), False) or unclosed(inside, closed=True) else None
     return None

@@ -2,20 +2,22 @@
 
 A value and the value it was cut from agree in their beginnings, so near-copies are looked for there: every value has
 min-hash bands over the five-word shingles of its first 12, 36, 108, ... words, and asks with the bands of its own
-longest beginning. Each band answers with its longest value (one aggregate per band, so a hot band is no large group),
-the texts of the pairs are fetched once and verified (0.8 of the shorter one's shingles), and the end of the shorter one
-is aligned with the longer one: where that goes on inside the sentence, word or number, the value was cut. As the longest
-value of a band need not be the one a value was cut from, values that look whole also ask with the hash of all their words
-but the last: every value with the same first ``HEAD`` words answers at the lengths asked there with that hash and the word
-behind, so an exact beginning of any other value is found whichever is the longest. All values,
-matched or not, also get the closing-word test of ``endings``; copies of the question have no end of their own and count
-as whole.
+longest beginning. Where a longer value shares such a band, every value of the band may be the one it was cut from; none
+is chosen before its ending is known. So the asking value's last five words before its last word become a posting, all
+values of the asked bands are read once and answer for the postings they hold with the word that follows, and only
+partners whose word goes on where the asking value stops ("diff" in "different", "16." in "16.85") are paired: an equi-join
+that hardly anything passes, however many values share a band. Their texts are fetched, verified as near-copies (0.8 of
+the shorter one's shingles), and aligned: where the alignment ends inside the other's word or number, the value was cut.
+
+Values without such a partner are scored by the terminality of their closing words (``endings``), which also scores what
+the alignment leaves open; copies of the question have no end of their own and count as whole.
 
 Null and blank values are not cut; re-delivered records count once.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,15 +26,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import MARK, WORD, WordIds, blocks, field_name, ids_of, minhash, multipliers, shingle_hashes, text_values, words_of
+from tracemill.llm.common import WORD, Sieve, WordIds, blocks, field_name, ids_of, minhash, multipliers, shingle_hashes, text_values, words_of
 from tracemill.llm.defects import defect_of, is_copy, is_empty
-from tracemill.llm.endings import cut_reason
+from tracemill.llm.endings import cut_reason, terminality
 from tracemill.session import cut
 
 SHINGLE, SIMILARITY = 5, 0.8
 SCALES = (12, 36, 108, 324, 972, 2916, 8748)
 BANDS, ROWS = 3, 2
-HEAD = 11
 EARLY = "alignment ends early"
 _SEED = 77_001
 
@@ -42,16 +43,6 @@ def beginnings(word_ids: np.ndarray) -> list[np.ndarray]:
     return [shingle_hashes(word_ids[:scale], SHINGLE) for scale in SCALES if len(word_ids) >= scale]
 
 
-def prefix_hashes(words: list[str], lengths: list[int]) -> list[int]:
-    """Hashes of the first n words for every n of the ascending ``lengths``."""
-    h, at, out = xxhash.xxh64(), 0, []
-    for n in lengths:
-        h.update("".join(w + " " for w in words[at:n]))
-        at = n
-        out.append(h.intdigest() - 2**63)
-    return out
-
-
 def open_end(text: str) -> str | None:
     """'bare' for a text that ends in a word, 'point' for one with . or , behind its last word, None for any other."""
     body = text.rstrip()
@@ -61,11 +52,11 @@ def open_end(text: str) -> str | None:
 
 
 def profile(values: DataFrame, defects: bool = False) -> DataFrame:
-    """(field, id, ds_name, blank, reason, defect, n_words, keys, head, ask, last, bare), one row a record.
+    """(field, id, ds_name, blank, reason, score, defect, n_words, keys, whole, ask, last, bare), one row a record.
 
-    ``keys`` are BANDS for each beginning, the longest beginning last; ``head`` is the hash of the first HEAD words. Values
-    that look whole have ``ask``, the hash of all words but the last, and ``last``, that word. ``defect`` is that of
-    problem 3 if ``defects``.
+    ``keys`` are BANDS for each beginning, the longest beginning last; ``whole`` is the hash of all words. Values that look
+    whole and end in a word have ``ask``, the hash of the SHINGLE words before the last, ``last``, that word, and ``bare``,
+    whether nothing stands behind it. ``defect`` is that of problem 3 if ``defects``.
     """
     mult = multipliers(BANDS * ROWS, _SEED)
 
@@ -82,12 +73,20 @@ def profile(values: DataFrame, defects: bool = False) -> DataFrame:
                 return idle[i] if idle[i] is not None else is_empty(texts[i]) or bool(questions[i] and is_copy(texts[i], questions[i]))
 
             reasons = [None if r is None or no_end(i) else r for i, r in enumerate(ends)]
+            scores = [terminality(t, r) for t, r in zip(texts, reasons)]
             words = [words_of(t) if t and len(t) > 2 * SCALES[0] else [] for t in texts]
             keys: list[list[int]] = [[] for _ in texts]
+            wholes, asks, lasts, bares = ([None] * len(texts) for _ in range(4))
             for part in blocks((i for i, w in enumerate(words) if len(w) >= SCALES[0]), lambda i: 2 * len(words[i]), 60_000):
                 runs, owner = [], []
                 for i in part:
-                    own = beginnings(ids_of(words[i], ids))
+                    coded = ids_of(words[i], ids)
+                    own = beginnings(coded)
+                    wholes[i] = xxhash.xxh64_intdigest(coded.tobytes()) - 2**63
+                    end = open_end(texts[i]) if ends[i] is None and not no_end(i) else None
+                    if end:
+                        asks[i] = int(shingle_hashes(coded[-SHINGLE - 1 : -1], SHINGLE)[0]) - 2**63
+                        lasts[i], bares[i] = words[i][-1], end == "bare"
                     runs += own
                     owner += [(i, k) for k in range(len(own))]
                 starts = np.cumsum([0, *(len(r) for r in runs[:-1])])
@@ -95,19 +94,12 @@ def profile(values: DataFrame, defects: bool = False) -> DataFrame:
                 band = band_keys(signature)
                 for (i, k), row in zip(owner, band):
                     keys[i] += (row ^ np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)).astype(np.int64).tolist()
-            heads, asks, lasts, bares = [], [], [], []
-            for i, (t, w) in enumerate(zip(texts, words)):
-                end = open_end(t) if len(w) > HEAD and ends[i] is None and not no_end(i) else None
-                heads.append(prefix_hashes(w, [HEAD])[0] if len(w) > HEAD else None)
-                asks.append(prefix_hashes(w, [len(w) - 1])[0] if end else None)
-                lasts.append(w[-1] if end else None)
-                bares.append(end == "bare" if end else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("field"), batch.column("id"), batch.column("ds_name"), pa.array([is_empty(t) for t in texts]), pa.array(reasons, pa.string()), pa.array(flaws, pa.string()), pa.array([len(w) for w in words], pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(heads, pa.int64()), pa.array(asks, pa.int64()), pa.array(lasts, pa.string()), pa.array(bares, pa.bool_())],
-                ["field", "id", "ds_name", "blank", "reason", "defect", "n_words", "keys", "head", "ask", "last", "bare"],
+                [batch.column("field"), batch.column("id"), batch.column("ds_name"), pa.array([is_empty(t) for t in texts]), pa.array(reasons, pa.string()), pa.array(scores, pa.float64()), pa.array(flaws, pa.string()), pa.array([len(w) for w in words], pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(wholes, pa.int64()), pa.array(asks, pa.int64()), pa.array(lasts, pa.string()), pa.array(bares, pa.bool_())],
+                ["field", "id", "ds_name", "blank", "reason", "score", "defect", "n_words", "keys", "whole", "ask", "last", "bare"],
             )
 
-    return values.mapInArrow(make, "field int, id bigint, ds_name string, blank boolean, reason string, defect string, n_words int, keys array<bigint>, head bigint, ask bigint, last string, bare boolean").dropDuplicates(["field", "id"])
+    return values.mapInArrow(make, "field int, id bigint, ds_name string, blank boolean, reason string, score double, defect string, n_words int, keys array<bigint>, whole bigint, ask bigint, last string, bare boolean").dropDuplicates(["field", "id"])
 
 
 def band_keys(signature: np.ndarray) -> np.ndarray:
@@ -128,7 +120,7 @@ def aligned_cut(short: str, long: str) -> bool | None:
         return None
     wa, wb = [m.group() for m in a], [m.group() for m in b]
     place: dict[tuple, list[int]] = {}
-    for j in range(min(len(wb), 2 * len(wa) + 40) - SHINGLE + 1):
+    for j in range(len(wb) - SHINGLE + 1):
         place.setdefault(tuple(wb[j : j + SHINGLE]), []).append(j)
     shared = sum(tuple(wa[i : i + SHINGLE]) in place for i in range(len(wa) - SHINGLE + 1))
     if shared < SIMILARITY * (len(wa) - SHINGLE + 1):
@@ -151,56 +143,91 @@ def aligned_cut(short: str, long: str) -> bool | None:
     return False
 
 
-def exact_beginnings(values: DataFrame, found: DataFrame) -> DataFrame:
-    """(field, id) of asking values that are the beginning of another value and stop inside its next word or number."""
-    asks = found.where("ask IS NOT NULL").select("field", "id", F.col("n_words").alias("n"), F.col("ask").alias("prefix"), "last", "bare")
-    # lengths asked for in a group: at most as many as its longest value has words
-    asked = found.where("head IS NOT NULL").groupBy("field", "head").agg(F.count("*").alias("size"), F.collect_set(F.when(F.col("ask").isNotNull(), F.col("n_words"))).alias("lengths"))
-    asked = asked.where("size > 1 AND size(lengths) > 0").select("field", "head", F.array_sort("lengths").alias("lengths"))
-    answering = found.select("field", "id", "head", "n_words").join(asked, ["field", "head"]).where(F.col("n_words") >= F.col("lengths")[0])
-    answering = answering.select("field", "id", F.filter("lengths", lambda n: n <= F.col("n_words")).alias("lengths"))
+def partners(values: DataFrame, found: DataFrame) -> DataFrame:
+    """(field, id, other): asking values with every different value of their bands that goes on where they stop."""
+    posting = found.select("field", "id", "n_words", F.posexplode("keys").alias("at", "key"), F.size("keys").alias("n_keys"), F.col("ask").isNotNull().alias("asks"))
+    longest = posting.groupBy("field", "key").agg(F.max("n_words").alias("longest"), F.max("asks").alias("asked"), F.count("*").alias("n")).where("n > 1 AND asked").select("field", "key", "longest")
+    banded = posting.join(longest, ["field", "key"])
+    # values of equal words ask and answer once
+    asks = banded.where((F.col("at") >= F.col("n_keys") - BANDS) & F.col("asks") & (F.col("longest") > F.col("n_words"))).select("field", "id").distinct()
+    asks = found.join(asks, ["field", "id"], "left_semi").groupBy("field", "whole", "ask", "last", "bare").agg(F.min("id").alias("id"))
+    asks = cut(asks)
+    answering = Sieve.of(banded.select("field", "id"))
+    wanted = Sieve.of(asks.select("field", F.col("ask").alias("id")))
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = WordIds()
         for batch in batches:
+            batch = answering.kept(batch)
             rows = []
-            for f, t, lengths in zip(*(batch.column(c).to_pylist() for c in ("field", "text", "lengths"))):
-                low = MARK.sub(" ", t).lower()
-                places = [(m.group(), m.end()) for m in WORD.finditer(low)]
-                for n, prefix in zip(lengths, prefix_hashes([w for w, _ in places], [n - 1 for n in lengths])):
-                    w, end = places[n - 1]
-                    rows.append((f, n, prefix, w, low[end : end + 1] in (".", ",") and low[end + 1 : end + 2].isdigit()))
-            columns = list(zip(*rows)) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, (pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.bool_()))], ["field", "n", "prefix", "word", "number"])
-
-    texts = values.select("field", "id", "text").join(answering, ["field", "id"]).select("field", "text", "lengths")
-    ends = texts.mapInArrow(answer, "field int, n int, prefix bigint, word string, number boolean").distinct().withColumnsRenamed({"field": "f", "n": "m", "prefix": "p"})
+            for f, i, t in zip(*(batch.column(c).to_pylist() for c in ("field", "id", "text"))):
+                words = words_of(t)
+                if len(words) < SCALES[0]:
+                    continue
+                coded = ids_of(words, ids)
+                keys = (shingle_hashes(coded, SHINGLE) ^ np.uint64(2**63)).view(np.int64)[:-1]
+                hit = np.flatnonzero(wanted.has(keys, f))
+                if not len(hit):
+                    continue
+                whole = xxhash.xxh64_intdigest(coded.tobytes()) - 2**63
+                numbers = None
+                for k in hit.tolist():
+                    word = words[k + SHINGLE]
+                    following = words[k + SHINGLE + 1] if k + SHINGLE + 1 < len(words) else ""
+                    number = False
+                    if following[:1].isdigit() and word[-1].isdigit():
+                        numbers = numbers if numbers is not None else set(_PARTED.findall(t.lower()))
+                        number = (word, following) in numbers
+                    rows.append((f, i, int(keys[k]), word, number, whole))
+            columns = list(zip(*rows)) if rows else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.int64()))], ["f", "other", "key", "word", "number", "all"])
+
+    ends = values.select("field", "id", "text").mapInArrow(answer, "f int, other bigint, key bigint, word string, number boolean, all bigint")
+    ends = ends.groupBy("f", "key", "word", "number", "all").agg(F.min("other").alias("other"))
     longer = F.col("bare") & (F.length("word") > F.length("last")) & F.startswith("word", "last")
-    same = (F.col("f") == F.col("field")) & (F.col("m") == F.col("n")) & (F.col("p") == F.col("prefix"))
-    return asks.join(ends, same & (longer | F.col("number") & (F.col("word") == F.col("last"))), "left_semi").select("field", "id")
+    same = (F.col("f") == F.col("field")) & (F.col("key") == F.col("ask")) & (F.col("all") != F.col("whole"))
+    return asks.join(ends, same & (longer | F.col("number") & (F.col("word") == F.col("last")))).select("field", "id", "other").distinct()
 
 
-def cut_values(values: DataFrame, defects: bool = False) -> DataFrame:
-    """(field, id, ds_name, blank, reason, defect) of every record; ``reason`` is null for whole values, ``defect`` without ``defects``."""
-    # the beginnings' keys are needed twice
-    found = cut(profile(values, defects))
-    posting = found.select("field", "id", "n_words", F.posexplode("keys").alias("at", "key"), F.size("keys").alias("n_keys"))
-    longest = posting.groupBy("field", "key").agg(F.max(F.struct("n_words", "id")).alias("best"), F.count("*").alias("n")).where("n > 1")
-    asking = posting.where(F.col("at") >= F.col("n_keys") - BANDS)
-    pairs = asking.join(longest, ["field", "key"]).where(F.col("best.n_words") > F.col("n_words")).select("field", "id", F.col("best.id").alias("other"))
-    pairs = cut(pairs.distinct())
-    wanted = pairs.select("field", F.explode(F.array("id", "other")).alias("id")).distinct()
-    texts = values.select("field", "id", "text").join(wanted, ["field", "id"], "left_semi").dropDuplicates(["field", "id"])
+#: The parts of numbers like 16.85.
+_PARTED = re.compile(r"(?<!\w)(\w*\d)[.,](\d\w*)")
+
+
+def aligned(values: DataFrame, found: DataFrame) -> DataFrame:
+    """(field, id) of values whose alignment with a near-copy ends early."""
+    pairs = cut(partners(values, found))
+    sieve = Sieve.of(pairs.select("field", F.explode(F.array("id", "other")).alias("id")))
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield sieve.kept(batch)
+
+    texts = values.select("field", "id", "text").mapInArrow(sift, "field int, id bigint, text string").dropDuplicates(["field", "id"])
     both = pairs.join(texts, ["field", "id"]).join(texts.withColumnsRenamed({"id": "other", "text": "longer"}), ["field", "other"])
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hit = [bool(aligned_cut(s, x)) for s, x in zip(batch.column("text").to_pylist(), batch.column("longer").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("field").filter(pa.array(hit)), batch.column("id").filter(pa.array(hit))], ["field", "id"])
+            hit = pa.array([bool(aligned_cut(s, x)) for s, x in zip(batch.column("text").to_pylist(), batch.column("longer").to_pylist())], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("field").filter(hit), batch.column("id").filter(hit)], ["field", "id"])
+
+    early = both.select("field", "id", "text", "longer").mapInArrow(align, "field int, id bigint").distinct()
+    # values of equal words and equal ends share the finding
+    named = found.select("field", "id", "whole", "last", "bare")
+    first = named.join(early, ["field", "id"], "left_semi").select("field", "whole", "last", "bare").distinct()
+    return named.where("last IS NOT NULL").join(first, ["field", "whole", "last", "bare"], "left_semi").select("field", "id")
+
 
-    aligned = both.select("field", "id", "text", "longer").mapInArrow(align, "field int, id bigint")
-    aligned = aligned.unionByName(exact_beginnings(values, found)).distinct().withColumn("early", F.lit(True))
-    joined = found.select("field", "id", "ds_name", "blank", "reason", "defect").join(aligned, ["field", "id"], "left")
-    return joined.select("field", "id", "ds_name", "blank", F.coalesce("reason", F.when(F.col("early"), F.lit(EARLY))).alias("reason"), "defect")
+def cut_values(values: DataFrame, defects: bool = False) -> DataFrame:
+    """(field, id, ds_name, blank, reason, score, defect) of every record; ``reason`` is null for whole values, ``defect`` without ``defects``.
+
+    ``score`` is the terminality of the closing words; 0 where the alignment shows the cut.
+    """
+    # the beginnings' keys are needed several times
+    found = cut(profile(values, defects))
+    early = aligned(values, found).withColumn("early", F.lit(True))
+    joined = found.select("field", "id", "ds_name", "blank", "reason", "score", "defect").join(early, ["field", "id"], "left")
+    reason = F.coalesce(F.when(F.col("early"), F.lit(EARLY)), "reason")
+    return joined.select("field", "id", "ds_name", "blank", reason.alias("reason"), F.when(F.col("early"), 0.0).otherwise(F.col("score")).alias("score"), "defect")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,7 +237,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(ds_name, field_name, n_values, n_cut, share): how often each source cuts each field; blank values do not count."""
+    """(ds_name, field_name, n_values, n_cut, share, mean_score): how often each source cuts each field; blank values do not count."""
     found = cut_values(text_values(spark, sf_dir)).where("NOT blank")
-    rates = found.groupBy("ds_name", "field").agg(F.count("*").alias("n_values"), F.count("reason").alias("n_cut"))
-    return rates.select("ds_name", field_name(F.col("field")).alias("field_name"), "n_values", "n_cut", F.round(F.col("n_cut") / F.col("n_values"), 6).alias("share"))
+    rates = found.groupBy("ds_name", "field").agg(F.count("*").alias("n_values"), F.count("reason").alias("n_cut"), F.round(F.avg("score"), 4).alias("mean_score"))
+    return rates.select("ds_name", field_name(F.col("field")).alias("field_name"), "n_values", "n_cut", F.round(F.col("n_cut") / F.col("n_values"), 6).alias("share"), "mean_score")
