@@ -97,7 +97,7 @@ def test_bundles(spark):
             ids.pop()
         assert (sizes.t[i], sizes.m[i]) == (len(ids), len(tiles or [])), i
     bound = max(out.n_tokens.sum() / 8192, out.n_tiles.sum() / 40)
-    assert len(groups) <= 1.12 * bound + 2
+    assert len(groups) <= 1.05 * bound + 2
     assert B.pack(samples.where("false")).count() == 0
 
 
@@ -126,3 +126,55 @@ def test_few_types_and_odd_capacities(spark):
     out = B.pack(spark.createDataFrame(rows, SAMPLE), 99, 5, unit=16, most_types=12).toPandas()
     groups = out.groupby("bundle_id").agg(t=("n_tokens", "sum"), m=("n_tiles", "sum"))
     assert (groups.t <= 99).all() and (groups.m <= 5).all() and len(out) == 301
+
+
+def first_fit_decreasing(items, units, tiles):
+    bins = []
+    for u, m in sorted(items, key=lambda x: -max(x[0] / units, x[1] / tiles)):
+        for b in bins:
+            if b[0] + u <= units and b[1] + m <= tiles:
+                b[0] += u
+                b[1] += m
+                break
+        else:
+            bins.append([u, m])
+    return len(bins)
+
+
+def test_plan_beats_first_fit_decreasing_and_keeps_its_bound():
+    rng = random.Random(3)
+    items = []
+    for _ in range(1200):
+        m = rng.choice([0, 0, 1, 2, 4, 6, 12])
+        items.append((min(512, 2 * m + 1 + int(rng.lognormvariate(3.2, 0.9))), m))
+    cells = {}
+    for x in items:
+        cells[x] = cells.get(x, 0) + 1
+    plan = B.Plan(cells, 512, 40)
+    used = sum(n for _, n in plan.fillings)
+    placed = {}
+    for filling, n in plan.fillings:
+        assert sum(plan.size[t][0] * k for t, k in filling.items()) <= 512 and sum(plan.size[t][1] * k for t, k in filling.items()) <= 40
+        for t, k in filling.items():
+            placed[t] = placed.get(t, 0) + k * n
+    assert all(placed[t] == c for t, c in enumerate(plan.count)) and sum(plan.count) == 1200
+    volume = max(sum(u for u, _ in items) / 512, sum(m for _, m in items) / 40)
+    assert volume <= plan.bound <= used < first_fit_decreasing(items, 512, 40) and used <= 1.02 * plan.bound + 1
+    assert plan.program.bound <= plan.program.value + 1e-9
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_program_against_all_fillings(seed):
+    """The bound is below, the fractional solution above the best rational cover of a small program, found by its dual."""
+    rng = random.Random(seed)
+    sizes = sorted({(8 * rng.randint(1, 6), rng.randint(0, 3)) for _ in range(4)})
+    counts = [rng.randint(1, 9) for _ in sizes]
+    program = B.Program(sizes, counts, 80, 6)
+    fillings = [()]
+    for _ in sizes:
+        fillings = [f + (k,) for f in fillings for k in range(11)]
+    fillings = [f for f in fillings if sum(k * s[0] for k, s in zip(f, sizes)) <= 80 and sum(k * s[1] for k, s in zip(f, sizes)) <= 6]
+    weight = np.array([rng.random() for _ in sizes])
+    assert abs(float(program.table(weight)[-1, -1]) - max(float(np.dot(f, weight)) for f in fillings)) < 1e-9
+    assert float(program.price.max()) > 0 and max(float(np.dot(f, program.price)) for f in fillings) <= 1 + 1e-9
+    assert abs(program.bound - float(np.dot(program.price, counts))) < 1e-9 and program.bound <= program.value + 1e-9 <= 1.6 * program.bound + 1
