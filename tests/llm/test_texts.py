@@ -198,6 +198,21 @@ def test_every_value_has_a_share(spark):
     assert got[300].share > 0.3
 
 
+def test_estimates_are_those_of_the_clean_half(spark):
+    """A seventh of a group is far away: distances of the rest are those of chi-squared, and the far ones are outliers."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    assert abs(R.CONSISTENCY - 0.4742) < 1e-3
+    clean = rng.normal([0.05, 0.3, 0.1, -0.4], [0.3, 0.5, 0.4, 0.6], (1000, 4))
+    far = rng.normal([4.0, 5.0, 4.0, -6.0], 0.1, (150, 4))
+    rows = [("chosen", i, -1, "s", "en", 40, 0.0, *map(float, x)) for i, x in enumerate(np.concatenate([clean, far]))]
+    names = ["field_name", "record_id", "turn_pos", "source", "lang", "n_words", "share", *R.NAMES]
+    out = R.judge(spark.createDataFrame(rows, names)).toPandas().set_index("record_id").sort_index()
+    assert out.outlier[1000:].all() and out.outlier[:1000].mean() < 0.08
+    assert 2.3 < out.distance[:1000].median() < 4.2  # 3.36 for chi-squared with four degrees of freedom, over the whole clean part
+
+
 def test_robust_distance_of_usual_values_is_small(spark):
     rng = random.Random(9)
     vocabulary = [f"w{i}" for i in range(2000)]

@@ -2,9 +2,9 @@
 
 Each value of at least ``least_words`` words has four statistics: the share of repeated runs of five words, that of
 repeated word pairs (square root), that of repeated sentences, and the logarithm of distinct words to all. Per language
-and source their centre and covariance are the minimum-covariance-determinant estimates: from medians and median
-deviations, concentration steps keep the half of the group that is nearest and estimate again, each step one aggregate
-over all rows. Values whose robust Mahalanobis distance is beyond the chi-squared quantile are rejected, and a rejected
+and source their centre and covariance are the minimum-covariance-determinant estimates: from three starts (medians and
+median deviations, all values, an eighth of them) concentration steps keep the half of the group that is nearest and
+estimate again, all starts in one aggregate over all rows a step; the smallest determinant wins. Values whose robust Mahalanobis distance is beyond the chi-squared quantile are rejected, and a rejected
 value is reported if its exact share of repeated runs reaches the limit.
 
 A distance is never smaller than that of one coordinate alone, so in a group whose centre of repeated runs is at most
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from math import factorial
 
 import numpy as np
 import pyarrow as pa
@@ -97,68 +98,108 @@ def _grouped(rows: DataFrame, least_group: int) -> DataFrame:
     return joined.drop("l", "t", "s")
 
 
-def _invert(moments: DataFrame) -> DataFrame:
-    """(grp, centre, inverse, deviation) from per-group means and covariances; one small row a group."""
+def _invert(moments: DataFrame, best: bool = False) -> DataFrame:
+    """(grp, centre, inverse, deviation), an entry a start, from per-group means and products; one small row a group.
+
+    With ``best`` only the entry of the smallest covariance determinant is left.
+    """
     p = len(NAMES)
 
     def invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             b = batch.to_pydict()
-            centres, inverses, deviations = [], [], []
-            for means, products in zip(b["means"], b["products"]):
-                c = np.array(means)
-                cov = np.array(products).reshape(p, p) - np.outer(c, c) + np.diag(np.square(FLOORS))
-                centres.append(c.tolist())
-                inverses.append(np.linalg.inv(cov).ravel().tolist())
-                deviations.append(float(cov[0, 0] ** 0.5))
-            yield pa.RecordBatch.from_arrays([batch.column("grp"), pa.array(centres, pa.list_(pa.float64())), pa.array(inverses, pa.list_(pa.float64())), pa.array(deviations, pa.float64())], ["grp", "centre", "inverse", "deviation"])
-
-    return moments.mapInArrow(invert, "grp string, centre array<double>, inverse array<double>, deviation double")
-
-
-def _distance() -> F.Column:
+            out = []
+            for all_means, all_products in zip(b["means"], b["products"]):
+                fits = []
+                for means, products in zip(all_means, all_products):
+                    if None in means or None in products:  # a start without values
+                        continue
+                    c, raw = np.array(means), np.zeros((p, p))
+                    raw[np.triu_indices(p)] = products
+                    cov = raw + np.triu(raw, 1).T - np.outer(c, c) + np.diag(np.square(FLOORS))
+                    fits.append((float(np.linalg.det(cov)), c.tolist(), np.linalg.inv(cov).ravel().tolist(), float(cov[0, 0] ** 0.5)))
+                fits = [min(fits)] if best else fits + fits[:1] * (STARTS - len(fits))
+                out.append([[f[k] for f in fits] for k in (1, 2, 3)])
+            lists = pa.list_(pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column("grp"), pa.array([x[0] for x in out], lists), pa.array([x[1] for x in out], lists), pa.array([x[2] for x in out], pa.list_(pa.float64()))], ["grp", "centre", "inverse", "deviation"])
+
+    return moments.mapInArrow(invert, "grp string, centre array<array<double>>, inverse array<array<double>>, deviation array<double>")
+
+
+def _distance(start: int = 0) -> F.Column:
     p = len(NAMES)
-    off = [F.col(x) - F.col("centre")[i] for i, x in enumerate(NAMES)]
+    off = [F.col(x) - F.col("centre")[start][i] for i, x in enumerate(NAMES)]
     total = F.lit(0.0)
     for i in range(p):
-        for j in range(p):
-            total = total + F.col("inverse")[i * p + j] * off[i] * off[j]
+        for j in range(i, p):
+            total = total + F.col("inverse")[start][i * p + j] * off[i] * off[j] * (1.0 if i == j else 2.0)
     return total
 
 
+_UPPER = [(a, b) for i, a in enumerate(NAMES) for b in NAMES[i:]]
+#: Starts of the concentration steps: medians and median deviations, all values, and an eighth of them.
+STARTS = 3
+
+
+def _moments(chosen: list[F.Column]) -> list[F.Column]:
+    """Means and products of the rows that each condition chooses."""
+    means = F.array(*(F.array(*(F.avg(F.when(c, F.col(x))) for x in NAMES)) for c in chosen))
+    products = F.array(*(F.array(*(F.avg(F.when(c, F.col(a) * F.col(b))) for a, b in _UPPER)) for c in chosen))
+    return [means.alias("means"), products.alias("products")]
+
+
 def robust_estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
-    """(grp, centre, inverse, deviation) by concentration steps on the nearer half of every group."""
-    middle = rows.groupBy("grp").agg(*(F.percentile_approx(x, 0.5, 10_000).alias(f"m_{x}") for x in NAMES))
+    """(grp, centre, inverse, deviation) by concentration steps on the nearer half of every group.
+
+    All starts take their steps in the same aggregates; the one whose half has the smallest determinant wins.
+    """
+    eighth = F.pmod(F.xxhash64("field_name", "record_id", "turn_pos"), F.lit(8)) == 0
+    middle = rows.groupBy("grp").agg(*(F.percentile_approx(x, 0.5, 10_000).alias(f"m_{x}") for x in NAMES), *_moments([F.lit(True), eighth]))
     spread = rows.join(middle, "grp").groupBy("grp").agg(*(F.percentile_approx(F.abs(F.col(x) - F.col(f"m_{x}")), 0.5, 10_000).alias(f"d_{x}") for x in NAMES))
     first = middle.join(spread, "grp")
     means = F.array(*(F.col(f"m_{x}") for x in NAMES))
     # products about the median: centre product plus the squared deviation on the diagonal
-    products = F.array(*(F.col(f"m_{a}") * F.col(f"m_{b}") + (F.pow(1.4826 * F.col(f"d_{a}"), 2) if a == b else F.lit(0.0)) for a in NAMES for b in NAMES))
-    now = cut(_invert(first.select("grp", means.alias("means"), products.alias("products"))))
-    for _ in range(steps):
-        measured = rows.join(now, "grp").select("grp", *NAMES, _distance().alias("d2"))
-        half = measured.groupBy("grp").agg(F.percentile_approx("d2", 0.5, 10_000).alias("half"))
-        kept = measured.join(half, "grp").where("d2 <= half")
-        sums = kept.groupBy("grp").agg(F.array(*(F.avg(x) for x in NAMES)).alias("means"), F.array(*(F.avg(F.col(a) * F.col(b)) for a in NAMES for b in NAMES)).alias("products"))
-        now = cut(_invert(sums))
+    products = F.array(*(F.col(f"m_{a}") * F.col(f"m_{b}") + (F.pow(1.4826 * F.col(f"d_{a}"), 2) if a == b else F.lit(0.0)) for a, b in _UPPER))
+    now = cut(_invert(first.select("grp", F.concat(F.array(means), "means").alias("means"), F.concat(F.array(products), "products").alias("products"))))
+    for step in range(steps):
+        measured = rows.join(now, "grp").select("grp", *NAMES, *(_distance(k).alias(f"d{k}") for k in range(STARTS)))
+        half = measured.groupBy("grp").agg(*(F.percentile_approx(f"d{k}", 0.5, 10_000).alias(f"h{k}") for k in range(STARTS)))
+        sums = measured.join(half, "grp").groupBy("grp").agg(*_moments([F.col(f"d{k}") <= F.col(f"h{k}") for k in range(STARTS)]))
+        now = cut(_invert(sums, best=step == steps - 1))
     return now
 
 
-#: Variance of the nearer half of a normal sample in four dimensions, against the whole sample's.
-CONSISTENCY = 0.418
+def _consistency(p: int) -> float:
+    """Variance of the nearer half of a normal sample in ``p`` (even) dimensions, against the whole sample's.
+
+    Twice the probability that chi-squared with p + 2 degrees of freedom is below the median of that with p.
+    """
+    below = lambda x, k: 1 - np.exp(-x / 2) * sum((x / 2) ** i / factorial(i) for i in range(k // 2))
+    low, high = 0.0, 10.0 * p
+    for _ in range(100):
+        middle = (low + high) / 2
+        low, high = (middle, high) if below(middle, p) < 0.5 else (low, middle)
+    return float(2 * below(low, p + 2))
+
+
+CONSISTENCY = _consistency(len(NAMES))
 
 
 def reject(values: DataFrame, least_words: int = LEAST_WORDS, limit: float = LIMIT, least_group: int = LEAST_GROUP) -> DataFrame:
-    """(field_name, record_id, turn_pos, n_words, share, distance, rejected) of every value of enough words."""
+    """(field_name, record_id, turn_pos, source, lang, n_words, share, distance, outlier, rejected) of every value of enough words."""
     return judge(cut(statistics(values, least_words)), limit, least_group)
 
 
 def judge(measured: DataFrame, limit: float = LIMIT, least_group: int = LEAST_GROUP) -> DataFrame:
-    """What ``reject`` gives, from the statistics of values of enough words."""
+    """What ``reject`` gives, from the statistics of values of enough words.
+
+    ``outlier`` says that the distance is beyond the quantile, ``rejected`` that it is or that the group gives no promise.
+    """
     rows = cut(_grouped(measured, least_group))
     judged = rows.join(robust_estimates(rows), "grp").withColumn("distance", _distance() * CONSISTENCY)
-    promise = (F.col("centre")[0] <= SAFE_CENTRE) & (F.col("deviation") / CONSISTENCY**0.5 <= (limit - SAFE_CENTRE) / QUANTILE**0.5)
-    return judged.select("field_name", "record_id", "turn_pos", "source", "lang", "n_words", "share", "distance", ((F.col("distance") > QUANTILE) | ~promise).alias("rejected"))
+    promise = (F.col("centre")[0][0] <= SAFE_CENTRE) & (F.col("deviation")[0] / CONSISTENCY**0.5 <= (limit - SAFE_CENTRE) / QUANTILE**0.5)
+    outlier = F.col("distance") > QUANTILE
+    return judged.select("field_name", "record_id", "turn_pos", "source", "lang", "n_words", "share", "distance", outlier.alias("outlier"), (outlier | ~promise).alias("rejected"))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,15 +208,19 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shares(values: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """(field_name, record_id, turn_pos, n_words, share, distance, flagged) of every value; short ones have no distance and are not flagged."""
+    """(field_name, record_id, turn_pos, n_words, share, distance, outlier, flagged) of every value.
+
+    ``outlier``: its statistics are far from its group's, by repetition of any kind or by lack of it; ``flagged``: its
+    share is at the limit. Short values have no distance and are neither.
+    """
     measured = cut(statistics(values, least_words, every=True))
     judged = judge(measured.where(F.col("n_words") >= least_words))
     flagged = F.col("rejected") & (F.col("share") >= LIMIT - 1e-12)
-    short = measured.where(F.col("n_words") < least_words).withColumns({"distance": F.lit(None).cast("double"), "rejected": F.lit(False)})
-    columns = ["field_name", "record_id", "turn_pos", "n_words", F.round("share", 9).alias("share"), F.round("distance", 3).alias("distance"), F.coalesce(flagged, F.lit(False)).alias("flagged")]
+    short = measured.where(F.col("n_words") < least_words).withColumns({"distance": F.lit(None).cast("double"), "rejected": F.lit(False), "outlier": F.lit(False)})
+    columns = ["field_name", "record_id", "turn_pos", "n_words", F.round("share", 9).alias("share"), F.round("distance", 3).alias("distance"), "outlier", F.coalesce(flagged, F.lit(False)).alias("flagged")]
     return judged.select(*columns).unionByName(short.select(*columns))
 
 
 def p6_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The share of every value, with its distance (null for values of few words) and whether it is flagged."""
+    """The share of every value, with its distance (null for values of few words), whether it is an outlier and whether it is flagged."""
     return shares(values_of(spark, sf_dir))
