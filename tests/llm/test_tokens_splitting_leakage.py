@@ -69,12 +69,20 @@ def test_pieces(spark):
             continue
         assert mine.piece_no.tolist() == list(range(len(mine))) and len(mine) > 1
         assert mine.start_token.iloc[0] == 0 and mine.end_token.iloc[-1] == len(enc.encode_ordinary(x))
-        assert all(len(enc.encode_ordinary(p)) <= 100 for p in mine.piece)
+        assert all(len(enc.encode_ordinary(p)) <= 100 and "\ufffd" not in p for p in mine.piece)
     assert set(rows[(rows.doc_id == 3) & (rows.cut != "end")].cut) == {"paragraph"}
     assert set(rows[(rows.doc_id == 4) & (rows.cut != "end")].cut) == {"word"}
     assert S.split_documents(df.where("false")).count() == 0
 
 
+def test_pieces_that_do_not_fit_are_cut_on(spark):
+    """Merges across a cut are lost, so a piece of few tokens may have more on its own: it is shortened, overlap included."""
+    df = spark.createDataFrame([(1, "internationalisation" * 40 + " 🙂é中" * 60)], "doc_id long, text string")
+    for most, overlap in ((12, 8), (10, 5)):
+        rows = S.split_documents(df, most=most, overlap=overlap).toPandas()
+        assert all(len(T.encoding().encode_ordinary(p)) <= most and "\ufffd" not in p for p in rows.piece) and len(rows) > 20
+
+
 def test_hamming_index_finds_everything_within_the_radius():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 300, np.uint64)

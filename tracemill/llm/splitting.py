@@ -22,6 +22,7 @@ from tracemill.session import table
 
 PARAGRAPH, STEP, LINE, SENTENCE, WORD_END, TOKEN, INSIDE = 5, 4, 3, 2, 1, 0, -1
 CUTS = {PARAGRAPH: "paragraph", STEP: "step", LINE: "line", SENTENCE: "sentence", WORD_END: "word", TOKEN: "token", INSIDE: "inside a character"}
+LEAST_OVERLAP = 4
 #: Where each kind of unit ends, the weaker first, as a stronger one overwrites.
 _ENDS = (
     (WORD_END, re.compile(r"(?<=\S)(?=\s)|(?<=\s)(?=\S)")),
@@ -96,7 +97,8 @@ def split_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     ``cut`` says what ends where the piece ends. Null, empty and short texts give no rows; repeated rows give repeated
     pieces. A piece that starts or ends inside a word could be encoded otherwise on its own; it is shortened until its
-    own encoding fits too.
+    own encoding fits too, with a shorter overlap where that is needed, and a ValueError says that none fits. With an
+    overlap of ``LEAST_OVERLAP`` tokens or more no piece starts or ends inside a character, as none has more bytes.
     """
     id_type = df.schema[id_col].dataType.simpleString()
 
@@ -115,14 +117,20 @@ def split_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     continue
                 ends = np.cumsum(width[ids])
                 raw, strength = text.encode("utf-8"), strengths(text, ends)
-                limit = most
+                limit, shared = most, overlap
                 while True:
-                    cuts = spans(strength, limit, overlap)
+                    cuts = spans(strength, limit, shared)
                     made = [raw[(int(ends[a - 1]) if a else 0) : int(ends[b - 1])].decode("utf-8", "replace") for a, b in cuts]
                     safe = [(a == 0 or strength[a - 1] >= WORD_END) and strength[b - 1] >= WORD_END for a, b in cuts]
-                    if limit <= overlap + 8 or all(ok or len(enc.encode_ordinary(p)) <= most for ok, p in zip(safe, made)):
+                    if all(ok or len(enc.encode_ordinary(p)) <= most for ok, p in zip(safe, made)):
                         break
-                    limit -= 8
+                    if limit <= shared + 8:
+                        # shorter pieces need a shorter overlap; a piece of few tokens fits in the end
+                        if shared <= LEAST_OVERLAP:
+                            raise ValueError(f"no pieces of at most {most} tokens cover a text")
+                        shared = max(LEAST_OVERLAP, shared // 2)
+                    else:
+                        limit -= 8
                 for no, ((a, b), piece) in enumerate(zip(cuts, made)):
                     at.append(i)
                     rows.append((no, a, b, b - a, "end" if b == len(ids) else CUTS[int(strength[b - 1])], piece))
