@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.session import cut
+from tracemill.session import cut, drop
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
@@ -29,5 +29,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
         # stars: no smaller end is a larger end elsewhere, and each larger end occurs once
         if then.join(then.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty() and then.groupBy("u").count().where("count > 1").isEmpty():
             return nodes.join(then.withColumnRenamed("u", "node"), "node", "left").select("node", F.coalesce("v", "node").alias("component"))
+        drop(now)
         now = then
     raise ValueError(f"{rounds} rounds did not reach the components")

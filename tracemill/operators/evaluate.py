@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,28 +88,86 @@ def ngram_repetition(df: DataFrame, key: str, text: Column, n: int = 10) -> Data
 
 
 def bleu4(df: DataFrame, key: str, candidate: Column, reference: Column) -> DataFrame:
-    """(key, bleu): BLEU-4 of a text against one reference, clipped n-gram precisions with brevity penalty; 0 where one order has no match."""
+    """(key, bleu): BLEU-4 of a text against one reference, clipped n-gram precisions with brevity penalty; 0 where one order has no match.
+
+    Keys are unique. N-grams are rows and are counted by aggregates, so the work grows with the texts' lengths.
+    """
     from tracemill.functions.text import tokens
 
-    def grams(words: Column, n: int) -> Column:
+    def grams(words: Column, n: int, side: str) -> Column:
         last = F.size(words) - n
-        return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.array_join(F.slice(words, i + 1, n), " "))).otherwise(F.array().cast("array<string>"))
-
-    def precision(c: Column, r: Column, n: int) -> Column:
-        # the n-grams are a lambda's variables, so that each list is made once
-        def clipped(both: Column) -> Column:
-            count = lambda xs, x: F.size(F.filter(xs, lambda y: y == x))
-            hits = F.aggregate(F.array_distinct(both["c"]), F.lit(0), lambda a, x: a + F.least(count(both["c"], x), count(both["r"], x)))
-            return F.when(F.size(both["c"]) > 0, hits / F.when(F.size(both["c"]) > 0, F.size(both["c"]))).otherwise(0.0)
-
-        return F.get(F.transform(F.array(F.struct(grams(c, n).alias("c"), grams(r, n).alias("r"))), clipped), F.lit(0))
-
-    def score(words: Column) -> Column:
-        c, r = words["c"], words["r"]
-        parts = [precision(c, r, n) for n in range(1, 5)]
-        logs = sum((F.ln(F.when(p > 0, p)) / 4 for p in parts), F.lit(0.0))
-        brevity = F.when(F.size(c) >= F.size(r), 0.0).otherwise(1 - F.size(r) / F.when(F.size(c) > 0, F.size(c)))
-        return F.coalesce(F.exp(logs + brevity), F.lit(0.0))
-
-    words = F.array(F.struct(tokens(F.lower(candidate)).alias("c"), tokens(F.lower(reference)).alias("r")))
-    return df.select(key, F.get(F.transform(words, score), F.lit(0)).alias("bleu"))
+        made = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.struct(F.lit(n).alias("n"), F.xxhash64(F.array_join(F.slice(words, i + 1, n), " ")).alias("gram"), F.lit(side).alias("side")))
+        return F.when(last >= 0, made).otherwise(F.array().cast("array<struct<n:int,gram:bigint,side:string>>"))
+
+    said = df.select(key, tokens(F.lower(candidate)).alias("__c"), tokens(F.lower(reference)).alias("__r"))
+    sizes = said.select(key, F.size("__c").alias("nc"), F.size("__r").alias("nr"))
+    rows = said.select(key, F.explode(F.concat(*(grams(F.col(c), n, c) for n in range(1, 5) for c in ("__c", "__r")))).alias("g"))
+    counts = rows.groupBy(key, "g.n", "g.gram").agg(F.count_if(F.col("g.side") == "__c").alias("c"), F.count_if(F.col("g.side") == "__r").alias("r"))
+    orders = counts.groupBy(key, "n").agg(F.sum(F.least("c", "r")).alias("hits"), F.sum("c").alias("all"))
+    logs = orders.where("hits > 0").groupBy(key).agg(F.sum(F.ln(F.col("hits") / F.col("all")) / 4).alias("logs"), F.count("*").alias("found"))
+    brevity = F.when(F.col("nc") >= F.col("nr"), 0.0).otherwise(1 - F.col("nr") / F.when(F.col("nc") > 0, F.col("nc")))
+    joined = sizes.join(logs, key, "left")
+    return joined.select(key, F.round(F.when(F.col("found") == 4, F.exp(F.col("logs") + brevity)).otherwise(0.0), 6).alias("bleu"))
+
+
+def best_annotation(score: Callable[[Column], Column], annotations: Column) -> Column:
+    """The greatest score over an answer's annotations (array<string>); null without any."""
+    return F.array_max(F.transform(annotations, lambda a: score(a).cast("double")))
+
+
+def eval_multi_choice(gold: Column, prediction: Column) -> Column:
+    """Whether the prediction is one of the right choices, character for character; gold is array<string> (one entry for a single answer)."""
+    return F.coalesce(F.array_contains(gold, prediction), F.lit(False))
+
+
+def with_gold_default(problems: DataFrame, gold: DataFrame, key: str, answer: str = "answer") -> DataFrame:
+    """Problems with their answer: their own, else that of the gold rows, else an empty string."""
+    joined = problems.join(gold.select(key, F.col(answer).alias("__gold")), key, "left")
+    return joined.withColumn(answer, F.coalesce(answer, "__gold", F.lit(""))).drop("__gold")
+
+
+def category_of(ident: Column) -> Column:
+    """The category inside an id ``part_Category_Name_number``: the middle parts."""
+    parts = F.split(ident, "_")
+    return F.array_join(F.slice(parts, F.lit(2), F.greatest(F.lit(0), F.size(parts) - 2)), "_")
+
+
+def align_by_category(outputs: DataFrame, answers: DataFrame, key: str, categories: list[str] | None = None, strict: bool = True) -> DataFrame:
+    """Outputs with their answers, of categories that both sides have; an id without answer in such a category raises if ``strict``.
+
+    ``categories`` leaves others out.
+    """
+    o, a = (df.withColumn("category", category_of(F.col(key))) for df in (outputs, answers))
+    shared = a.select("category").distinct()
+    if categories is not None:
+        shared = shared.where(F.col("category").isin(categories))
+    found = o.join(shared, "category", "left_semi").join(a.drop("category").withColumn("__there", F.lit(True)), key, "left")
+    if strict:
+        checked = F.assert_true(F.coalesce("__there", F.lit(False)), F.concat(F.lit("no answer for "), key))
+        found = found.where(checked.isNull())
+    return found.where("__there").drop("__there")
+
+
+def full_denominator(scored: DataFrame, gold: DataFrame, key: str, score: str, excluded: list | None = None) -> DataFrame:
+    """One row (n, mean): the mean score over all gold ids but the excluded; ids that were not answered score 0."""
+    ids = gold.select(key).distinct()
+    if excluded:
+        ids = ids.where(~F.col(key).isin(excluded))
+    return ids.join(scored.select(key, score), key, "left").agg(F.count("*").alias("n"), F.round(F.avg(F.coalesce(score, F.lit(0.0))), 6).alias("mean"))
+
+
+def percent(correct: Column, total: Column) -> Column:
+    """100 x correct / total with two places, as text without needless zeros but one: 66.67, 50.0."""
+    value = F.round(100.0 * correct / F.when(total > 0, total), 2)
+    return value.cast("string")
+
+
+def title_equal(a: Column, b: Column) -> Column:
+    """Equality of title-cased texts, which is equality but for case."""
+    return F.lower(a) == F.lower(b)
+
+
+def report_lines(metrics: DataFrame, facet: str, value: str, score: str) -> DataFrame:
+    """(facet, lines): a metric report, one text a facet with its values in order."""
+    entry = F.struct(F.col(value).alias("v"), F.concat_ws(": ", F.col(value), F.format_string("%.4f", F.col(score))).alias("line"))
+    return metrics.groupBy(facet).agg(F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["line"]), "\n").alias("lines"))

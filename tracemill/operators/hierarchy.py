@@ -21,7 +21,7 @@ def category_support(labels: DataFrame, category: str, item: str, least: int = 1
     return distinct.groupBy(category).agg(F.count("*").alias("support")).where(F.col("support") >= least)
 
 
-def category_cosine(labels: DataFrame, category: str, item: str, most_per_item: int | None = None) -> DataFrame:
+def category_cosine(labels: DataFrame, category: str, item: str, most_per_item: int | None = 10_000) -> DataFrame:
     """(a, b, shared, distance) of categories with a common item: 1 - shared / sqrt(support a x support b).
 
     Other pairs have distance 1 and are left out, so the pairs come from a self-join on the item. An item has few
@@ -52,13 +52,16 @@ def representatives(clusters: DataFrame, support: DataFrame, category: str) -> D
     return joined.withColumn("rn", F.row_number().over(order)).where("rn = 1").select("cluster", F.col(category).alias("representative")).join(sizes, "cluster")
 
 
-def average_linkage(distances: pd.DataFrame | DataFrame, names: list[str], default: float = 1.0) -> pd.DataFrame:
+def average_linkage(distances: pd.DataFrame | DataFrame, names: list[str], default: float = 1.0, most: int = 2_000) -> pd.DataFrame:
     """The merges of average-linkage clustering: rows (id, left, right, distance, size), leaves being 0 .. n-1.
 
-    For the names of one bounded list (criteria, not documents); the closest pair merges first, the earliest among equals.
+    For the names of one bounded list (criteria, not documents), which is checked: more than ``most`` names raise a
+    ValueError, as the merges are made on the driver. The closest pair merges first, the earliest among equals.
     """
+    if len(names) > most:
+        raise ValueError(f"more than {most} names")
     if isinstance(distances, DataFrame):
-        distances = distances.select("a", "b", "distance").toPandas()
+        distances = distances.select("a", "b", "distance").where(F.col("a").isin(names) & F.col("b").isin(names)).toPandas()
     place = {x: i for i, x in enumerate(names)}
     n = len(names)
     total = np.full((2 * n, 2 * n), np.inf)
@@ -164,10 +167,11 @@ def pairs_lines(merged: DataFrame, parent: str) -> DataFrame:
     return merged.select(F.concat(F.col(parent), F.lit("："), F.array_join("children", "、")).alias("value"))
 
 
-def scored_parents(items: DataFrame, parents: DataFrame, vector: str, parent_id: str, parent_vector: str, most_parents: int = 100_000) -> DataFrame:
-    """Each item with each parent and their similarity. The catalogue of parents is broadcast behind a check of its size."""
-    if parents.count() > most_parents:
-        raise ValueError(f"the catalogue has more than {most_parents} parents")
+def scored_parents(items: DataFrame, parents: DataFrame, vector: str, parent_id: str, parent_vector: str, most_bytes: int = 64_000_000) -> DataFrame:
+    """Each item with each parent and their similarity. The catalogue of parents is broadcast behind a check of its bytes."""
+    size = parents.agg(F.sum(F.size(parent_vector) * 8 + 32)).first()[0] or 0
+    if size > most_bytes:
+        raise ValueError(f"the catalogue of parents takes more than {most_bytes} bytes")
     p = parents.select(F.col(parent_id).alias("p_id"), F.col(parent_vector).alias("p_vec"))
     return items.join(F.broadcast(p), F.lit(True)).withColumn("sim", dot(F.col(vector), F.col("p_vec"))).drop("p_vec")
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -92,15 +93,17 @@ def split_at(tokens: int, image_starts: list[int], max_tokens: int) -> list[tupl
     return cuts
 
 
-def position_ids(mask: F.Column) -> F.Column:
-    """Running count of attended places less one; masked places get 1."""
-    running = F.aggregate(mask, F.array().cast("array<int>"), lambda a, x: F.concat(a, F.array((F.coalesce(F.element_at(F.concat(F.array(F.lit(0)), a), -1), F.lit(0)) + x).cast("int"))))
-    return F.transform(F.arrays_zip(mask.alias("m"), running.alias("r")), lambda e: F.when(e["m"] == 0, 1).otherwise(e["r"] - 1))
+@F.pandas_udf("array<int>")
+def position_ids(mask: pd.Series) -> pd.Series:
+    """Running count of attended places less one; masked places get 1. Null arrays stay null."""
+    one = lambda m: None if m is None else np.where(np.asarray(m) == 0, 1, np.cumsum(m) - 1)
+    return mask.map(one, na_action="ignore")
 
 
-def cu_seqlens(lengths: F.Column) -> F.Column:
-    """Cumulative lengths with a leading zero."""
-    return F.aggregate(lengths, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array((F.element_at(a, -1) + x).cast("int"))))
+@F.pandas_udf("array<int>")
+def cu_seqlens(lengths: pd.Series) -> pd.Series:
+    """Cumulative lengths with a leading zero. Null arrays stay null."""
+    return lengths.map(lambda n: np.concatenate(([0], np.cumsum(n))).astype(np.int32), na_action="ignore")
 
 
 def pad_batches(df: DataFrame, batch: str, ids: str, labels: str, pad: int = 0, ignored: int = -100) -> DataFrame:

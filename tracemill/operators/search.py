@@ -84,7 +84,7 @@ def search(question: str, answer: str | None, provider: Provider, scorer: Callab
                 node = max(node.children, key=lambda x: uct(x, node.visits))
         if node.vector is not None:
             gap = max(z - v for z, v in zip(ideal, node.vector))
-            ideal = [max(gap, *node.vector)] * dimensions
+            ideal = [gap] * dimensions
         reward = value(node)[0]
         for n in node.path():
             n.visits += 1

@@ -10,43 +10,59 @@ from tracemill.operators import sampling as M
 from tracemill.plans.registry import ctes, query, responses
 from tracemill.session import table
 
-_KEYS = ["question", "answer"]
+_KEYS = ["image", "question", "answer"]
 
 
 def _scored(spark, d):
-    r = responses(spark, d, "question", "answer", "answer_pred", "is_correct")
-    return r.where("is_correct IS NOT NULL")
+    """Judged responses; the image, a list, stands as text, and no image is a value like any other."""
+    r = responses(spark, d, "image", "question", "answer", "answer_pred", "is_correct", "response", "meta")
+    return r.where("is_correct IS NOT NULL").withColumn("image", F.coalesce(F.to_json("image"), F.lit("null")))
 
 
-_SCORED = f"{ctes('s')}, r AS (SELECT response_id, question, answer, answer_pred, is_correct FROM s WHERE is_correct IS NOT NULL)"
+_SCORED = f"{ctes('s')}, r AS (SELECT response_id, coalesce(to_json(image)::VARCHAR, 'null') AS image, question, answer, answer_pred, is_correct, response, meta FROM s WHERE is_correct IS NOT NULL)"
 
 
-@query("pos_neg_pairs", f"""{_SCORED}, h AS (SELECT *, md5(CAST(response_id AS VARCHAR) || '|0') AS h FROM r),
-j AS (SELECT a.question, a.answer, a.response_id AS chosen_id, b.response_id AS rejected_id, a.h AS ha, b.h AS hb FROM h a JOIN h b ON a.question = b.question AND a.answer = b.answer AND a.is_correct = 1 AND b.is_correct = 0 WHERE NOT coalesce(contains(lower(b.answer_pred), lower(a.answer_pred)), false)),
-k AS (SELECT *, row_number() OVER (PARTITION BY question, answer ORDER BY greatest(ha, hb), ha, hb, chosen_id, rejected_id) AS rk FROM j)
-SELECT question, answer, chosen_id, rejected_id FROM k WHERE rk <= 15""")
-def pos_neg_pairs(spark, d):
+_PAIRED = f"""{_SCORED}, h AS (SELECT *, md5(CAST(response_id AS VARCHAR) || '|0') AS h FROM r),
+j AS (SELECT a.image, a.question, a.answer, a.response_id AS chosen_id, b.response_id AS rejected_id, a.response AS chosen, b.response AS rejected, a.meta.consistency AS chosen_meta, b.meta.consistency AS rejected_meta, a.h AS ha, b.h AS hb FROM h a JOIN h b ON a.image = b.image AND a.question = b.question AND a.answer = b.answer AND a.is_correct = 1 AND b.is_correct = 0 WHERE NOT coalesce(contains(lower(b.answer_pred), lower(a.answer_pred)), false)),
+k AS (SELECT *, row_number() OVER (PARTITION BY image, question, answer ORDER BY greatest(ha, hb), ha, hb, chosen_id, rejected_id) AS rk FROM j)"""
+
+
+def _pairs(spark, d):
     r = _scored(spark, d)
-    return P.pos_neg_pairs(r.where("is_correct = 1"), r.where("is_correct = 0"), _KEYS, "response_id", "answer_pred")
+    return r, P.pos_neg_pairs(r.where("is_correct = 1"), r.where("is_correct = 0"), _KEYS, "response_id", "answer_pred", P.pairs_per_key(r))
+
+
+@query("pos_neg_pairs", f"{_PAIRED} SELECT image, question, answer, chosen_id, rejected_id FROM k WHERE rk <= 15")
+def pos_neg_pairs(spark, d):
+    return _pairs(spark, d)[1]
 
 
-@query("pairing_stats", f"""{_SCORED}, k AS (SELECT question, answer, count(*) FILTER (is_correct = 1) AS p, count(*) FILTER (is_correct <> 1) AS n FROM r GROUP BY ALL)
-SELECT count(*) FILTER (p > 0 AND n = 0) AS only_in_pos, count(*) FILTER (p = 0 AND n > 0) AS only_in_neg, count(*) FILTER (p > 0 AND n > 0) AS in_both, CAST(sum(p * n) AS BIGINT) AS max_possible_pairs, CAST(sum(p) AS BIGINT) AS n_pos, CAST(sum(n) AS BIGINT) AS n_neg FROM k""")
+@query("pos_neg_pair_rows", f"{_PAIRED} SELECT image, question, chosen, rejected, answer AS answer_gt, chosen_meta, rejected_meta, chosen_id, rejected_id FROM k WHERE rk <= 15")
+def pos_neg_pair_rows(spark, d):
+    r, found = _pairs(spark, d)
+    made = P.pair_rows(found, r.withColumn("meta", F.col("meta.consistency")), _KEYS, "response_id", "response", "meta")
+    return made.select("image", "question", "chosen", "rejected", F.col("answer").alias("answer_gt"), "chosen_meta", "rejected_meta", "chosen_id", "rejected_id")
+
+
+@query("pairing_stats", f"""{_SCORED}, c AS (SELECT image, question, answer, lower(answer_pred) AS pred, count(*) FILTER (is_correct = 1) AS p, count(*) FILTER (is_correct <> 1) AS n FROM r GROUP BY ALL),
+e AS (SELECT a.image, a.question, a.answer, sum(a.p * b.n) AS skipped FROM c a JOIN c b ON a.image = b.image AND a.question = b.question AND a.answer = b.answer AND contains(b.pred, a.pred) GROUP BY ALL),
+k AS (SELECT image, question, answer, sum(p) AS p, sum(n) AS n FROM c GROUP BY ALL), f AS (SELECT k.*, coalesce(skipped, 0) AS skipped FROM k LEFT JOIN e ON e.image = k.image AND e.question = k.question AND e.answer = k.answer)
+SELECT count(*) FILTER (p > 0 AND n = 0) AS only_in_pos, count(*) FILTER (p = 0 AND n > 0) AS only_in_neg, count(*) FILTER (p > 0 AND n > 0) AS in_both, CAST(sum(p * n) AS BIGINT) AS max_possible_pairs, CAST(sum(p) AS BIGINT) AS n_pos, CAST(sum(n) AS BIGINT) AS n_neg, CAST(sum(skipped) AS BIGINT) AS entail_skip, count(*) FILTER (p * n > 0 AND p * n = skipped) AS key_without_pairs FROM f""")
 def pairing_stats(spark, d):
-    return P.pairing_stats(_scored(spark, d), _KEYS, F.col("is_correct") == 1)
+    return P.pairing_stats(_scored(spark, d), _KEYS, F.col("is_correct") == 1, "answer_pred")
+
 
+_SETS = f"{_SCORED}, p AS (SELECT DISTINCT image, question, answer FROM r WHERE is_correct = 1), n AS (SELECT DISTINCT image, question, answer FROM r WHERE is_correct = 0)"
 
-@query("key_set_ops", f"""{_SCORED}, p AS (SELECT DISTINCT question, answer FROM r WHERE is_correct = 1), n AS (SELECT DISTINCT question, answer FROM r WHERE is_correct = 0)
+
+@query("key_set_ops", f"""{_SETS}
 SELECT 'pos_minus_neg' AS op, count(*) AS n FROM (SELECT * FROM p EXCEPT SELECT * FROM n) UNION ALL SELECT 'neg_minus_pos', count(*) FROM (SELECT * FROM n EXCEPT SELECT * FROM p) UNION ALL SELECT 'intersection', count(*) FROM (SELECT * FROM p INTERSECT SELECT * FROM n) UNION ALL SELECT 'union', count(*) FROM (SELECT * FROM p UNION SELECT * FROM n)""")
 def key_set_ops(spark, d):
-    r = _scored(spark, d)
-    p, n = (r.where(f"is_correct = {x}").select(*_KEYS).distinct() for x in (1, 0))
-    count = lambda name, df: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("op"), "n")
-    return count("pos_minus_neg", p.subtract(n)).union(count("neg_minus_pos", n.subtract(p))).union(count("intersection", p.intersect(n))).union(count("union", p.union(n).distinct()))
+    return P.key_set_ops(_scored(spark, d), _KEYS, F.col("is_correct") == 1, F.col("is_correct") == 0)
 
 
-@query("gt_augment", f"""{_SCORED}, p AS (SELECT question, answer, CAST(response_id AS VARCHAR) AS source FROM r WHERE is_correct = 1), g AS (SELECT DISTINCT question, answer, 'gold' AS source FROM r)
-SELECT * FROM p UNION ALL SELECT * FROM g WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.question = g.question AND p.answer = g.answer)""")
+@query("gt_augment", f"""{_SCORED}, p AS (SELECT image, question, answer, CAST(response_id AS VARCHAR) AS source FROM r WHERE is_correct = 1), g AS (SELECT DISTINCT image, question, answer, 'gold' AS source FROM r)
+SELECT * FROM p UNION ALL SELECT * FROM g WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.image = g.image AND p.question = g.question AND p.answer = g.answer)""")
 def gt_augment(spark, d):
     r = _scored(spark, d)
     positives = r.where("is_correct = 1").select(*_KEYS, F.col("response_id").cast("string").alias("source"))

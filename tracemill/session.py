@@ -17,16 +17,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints: what the session names in ``spark.checkpoint.dir``; a local folder only where none is named (tests)."""
+    """The folder for checkpoints: what the session names in ``spark.checkpoint.dir``.
+
+    Without a name a local master gets a local folder (tests); on a cluster that folder would not be shared, so a
+    RuntimeError asks for the name.
+    """
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
+    if not named and not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
     context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "tracemill-checkpoints"))
     return context.getCheckpointDir()
 
 
+def drop(df: DataFrame) -> None:
+    """Removes the stored rows of a checkpoint that nothing will read again."""
+    jvm = df.sparkSession._jvm
+    try:
+        path = jvm.org.apache.hadoop.fs.Path(df._jdf.queryExecution().analyzed().rdd().getCheckpointFile().get())
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # noqa: BLE001  what is left over does no harm
+        pass
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and stored in the checkpoint folder, so that later stages survive the loss of executors."""
     ensure_checkpoint_dir(df.sparkSession)

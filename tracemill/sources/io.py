@@ -103,7 +103,7 @@ def data_url(content: Column, mime: Column) -> Column:
 def scene_frames(df: DataFrame, scenes: str) -> DataFrame:
     """(key, value) of map<scene, map<frame, value>>; the key is ``scene_frame`` and its first value in name order counts."""
     flat = df.select(F.explode(scenes).alias("scene", "frames")).select("scene", F.explode("frames").alias("frame", "value"))
-    return flat.groupBy(F.concat_ws("_", "scene", "frame").alias("key")).agg(F.min("value").alias("value"))
+    return flat.groupBy(F.concat_ws("_", "scene", "frame").alias("key")).agg(F.min_by("value", F.struct("scene", "frame")).alias("value"))
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "error") -> None:
