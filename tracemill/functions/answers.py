@@ -31,6 +31,15 @@ def parse_final_answer(text: Column) -> Column:
     return F.when(good, F.struct(rationale.alias("rationale"), answer.alias("answer")))
 
 
+def plain_option_letter(answer: Column, options: Column) -> Column:
+    """As ``option_letter``, without the forms ``X.`` and ``(X)``: one character, a leading letter, an option's text, or the prediction."""
+    p = strip(answer)
+    first = F.substring(p, 1, 1)
+    held = F.filter(F.map_entries(options), lambda e: F.contains(p, e["value"]))
+    named = F.when(F.array_contains(F.map_keys(options), first), first).when(F.size(held) > 0, F.get(held, F.lit(0))["key"]).otherwise(p)
+    return F.when(F.length(p) <= 1, p).otherwise(named)
+
+
 _QUICK = r"(?i)(Final answer:|Answer:)\s*([^\n]*)"
 
 

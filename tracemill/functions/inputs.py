@@ -175,3 +175,33 @@ def ancestor_paths(nodes: DataFrame, tree: str, node: str, parent: str) -> DataF
         walk = cut(walk.select(tree, node, F.when(F.col("n").isNotNull(), F.concat("above", "path")).otherwise(F.col("path")).alias("path"), F.col("next").alias("at")))
         rounds += 1
     return walk.select(tree, node, F.when(F.col("at").isNull(), F.col("path")).alias("path"))
+
+
+def gathered(df_columns: list[str], prefix: str = "image_", most: int = 7) -> Column:
+    """array<string> of the columns ``image_1`` to ``image_7`` that a table has, without nulls, in order."""
+    there = [F.col(f"{prefix}{k}") for k in range(1, most + 1) if f"{prefix}{k}" in df_columns]
+    return F.filter(F.array(*there), lambda x: x.isNotNull()) if there else F.array().cast("array<string>")
+
+
+def image_paths(text: Column) -> Column:
+    """The paths of ``<img='...'>`` marks in a text, in order."""
+    return F.regexp_extract_all(text, F.lit("<img='(.*?)'>"), F.lit(1))
+
+
+def frame_number(name: Column) -> Column:
+    """The number in front of ``.jpg``, -1 without one."""
+    return F.coalesce(F.when(F.regexp_extract(name, r"_(\d+).jpg$", 1) != "", F.regexp_extract(name, r"_(\d+).jpg$", 1)).cast("int"), F.lit(-1))
+
+
+def is_url(text: Column) -> Column:
+    return F.coalesce(F.startswith(text, F.lit("http://")) | F.startswith(text, F.lit("https://")) | F.startswith(text, F.lit("data:")), F.lit(False))
+
+
+def continued(prefix: Column, continuation: Column) -> Column:
+    """A response begun with a prefix and carried on by a model; null where nothing was carried on."""
+    return F.concat(prefix, continuation)
+
+
+def extraction_prompt(demo: str, query: Column, response: Column, suffix: str = "Extracted answer: ") -> Column:
+    """The prompt that asks a model for the answer inside a response."""
+    return F.concat(F.lit(demo + "\n\n"), query, F.lit("\n\n"), F.coalesce(response, F.lit("")), F.lit("\n\n" + suffix))

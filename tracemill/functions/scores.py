@@ -205,3 +205,40 @@ def loss_weight(length: Column, kind: str = "square") -> Column:
 
 def prm_probability(good: Column, bad: Column) -> Column:
     return F.round(1 / (1 + F.exp(bad - good)), 3)
+
+
+def safe_equal(a: Column, b: Column) -> Column:
+    """Equality of values of any kind: false where kinds differ or one is null, true for two nulls."""
+    return a.eqNullSafe(b)
+
+
+def raw_vector(raw: Column, dimensions: tuple[str, ...] = DIMENSIONS) -> Column:
+    """Raw scores (map<dimension, double>) as 0 to 1, in the order of the dimensions; 5 where one is missing."""
+    return F.array(*(normalize_score(F.coalesce(F.try_element_at(raw, F.lit(d)), F.lit(5.0))) for d in dimensions))
+
+
+def step_scores(backend: Column, text: Column, judged: Column, dimensions: tuple[str, ...] = DIMENSIONS) -> Column:
+    """Raw scores of a step by backend: ``heuristic``, ``neutral`` (5 each), or what a judge wrote; words decide where it wrote no score."""
+    neutral = F.array(*(F.lit(5.0) for _ in dimensions))
+    own = F.when(F.coalesce(judged, F.lit("")).rlike(r"[^:\n\-–]+:\s*\[\[\s*[0-9]+(?:\.[0-9]+)?\s*\]\]"), judge_scores(judged, dimensions)).otherwise(heuristic_scores(text))
+    return F.when(backend == "heuristic", heuristic_scores(text)).when(backend == "neutral", neutral).otherwise(own)
+
+
+def step_loss(probability: Column, label: Column, epsilon: float = 1e-9) -> Column:
+    """Two-class cross entropy of one step, over both classes: twice that of the good one's clamped probability."""
+    p = F.greatest(F.lit(epsilon), F.least(F.lit(1 - epsilon), probability))
+    return -2 * (label * F.ln(p) + (1 - label) * F.ln(1 - p))
+
+
+def preference_loss(margins: Column, nll: Column, weights: dict[str, float], alpha: float | None = None, beta: float = 0.1) -> Column:
+    """Weighted sum of preference losses of a log-probability margin, and alpha times the likelihood term.
+
+    ``weights`` by kind: ``sigmoid`` -ln s(beta m), ``hinge`` max(0, 1 - beta m), ``ipo`` (m - 1 / (2 beta))^2.
+    """
+    kinds = {
+        "sigmoid": F.log1p(F.exp(-beta * margins)),
+        "hinge": F.greatest(F.lit(0.0), 1 - beta * margins),
+        "ipo": F.pow(margins - 1 / (2 * beta), 2),
+    }
+    total = reduce(lambda a, b: a + b, (kinds[k] * w for k, w in weights.items()))
+    return total if alpha is None else total + nll * alpha

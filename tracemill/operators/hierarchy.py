@@ -200,3 +200,9 @@ def set_vectors(labels: DataFrame, category: str, item: str) -> DataFrame:
     return distinct.join(norm, category)
 
 
+
+
+def ordered_clusters(members: DataFrame, cluster: str, name: str) -> DataFrame:
+    """(cluster, members, place): clusters by falling size, then by their sorted members. For the names of one bounded list."""
+    lists = members.groupBy(cluster).agg(F.array_sort(F.collect_list(name)).alias("members"))
+    return lists.withColumn("place", F.row_number().over(Window.orderBy(-F.size("members"), "members")).cast("bigint"))

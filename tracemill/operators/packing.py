@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 
 class Buffers:
@@ -93,14 +94,14 @@ def split_at(tokens: int, image_starts: list[int], max_tokens: int) -> list[tupl
     return cuts
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(ArrayType(IntegerType()))
 def position_ids(mask: pd.Series) -> pd.Series:
     """Running count of attended places less one; masked places get 1. Null arrays stay null."""
     one = lambda m: None if m is None else np.where(np.asarray(m) == 0, 1, np.cumsum(m) - 1)
     return mask.map(one, na_action="ignore")
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(ArrayType(IntegerType()))
 def cu_seqlens(lengths: pd.Series) -> pd.Series:
     """Cumulative lengths with a leading zero. Null arrays stay null."""
     return lengths.map(lambda n: np.concatenate(([0], np.cumsum(n))).astype(np.int32), na_action="ignore")
@@ -118,3 +119,17 @@ def pad_batches(df: DataFrame, batch: str, ids: str, labels: str, pad: int = 0,
 def pad_flags(flags: F.Column, expected: F.Column) -> F.Column:
     """Image flags with zeros up to the expected count."""
     return F.concat(flags, F.array_repeat(F.lit(0), F.greatest(F.lit(0), expected - F.size(flags))))
+
+
+def join_sides(pairs: DataFrame, batch: str, chosen: str, rejected: str, pad: int = 0) -> DataFrame:
+    """Both sides of pairs as rows of one batch: side 0 chosen, 1 rejected, ids padded to the longest of the batch, with the attention mask."""
+    rest = [c for c in pairs.columns if c not in (chosen, rejected)]
+    both = pairs.select(*rest, F.lit(0).alias("side"), F.col(chosen).alias("ids")).unionByName(pairs.select(*rest, F.lit(1).alias("side"), F.col(rejected).alias("ids")))
+    return pad_batches(both.withColumn("__labels", F.col("ids")), batch, "ids", "__labels", pad).drop("__labels")
+
+
+def collate(rows: DataFrame, batch: str, order: str, *columns: str) -> DataFrame:
+    """(batch, columns as arrays in order): records of a batch as lists. For batches of a bounded size."""
+    entry = F.array_sort(F.collect_list(F.struct(F.col(order).alias("__o"), *columns)))
+    listed = rows.groupBy(batch).agg(entry.alias("__e"))
+    return listed.select(batch, *(F.col(f"__e.{c}").alias(c) for c in columns))

@@ -86,3 +86,31 @@ def reward_margins(df: DataFrame, chosen: Column, rejected: Column) -> DataFrame
     both = df.select(chosen.alias("c"), rejected.alias("r")).where("c IS NOT NULL AND r IS NOT NULL")
     mean = lambda x: F.round(F.avg(x), 6)
     return both.agg(F.count("*").alias("n_pairs"), mean("c").alias("reward_chosen"), mean("r").alias("reward_rejected"), mean((F.col("c") > F.col("r")).cast("double")).alias("accuracy"), mean(F.col("c") - F.col("r")).alias("margin"))
+
+
+def in_step_order(reviews: Column) -> Column:
+    """Reviews (array of structs with ``step_index``) by step index, those without one last, in their own order."""
+    numbered = F.transform(reviews, lambda r, i: F.struct(r["step_index"].isNull().alias("none"), r["step_index"].alias("at"), i.alias("i"), r.alias("r")))
+    # maps inside a review have no order, so only the sort keys are compared
+    keys = F.array_sort(F.transform(numbered, lambda x: F.struct(x["none"], x["at"], x["i"])))
+    return F.transform(keys, lambda k: F.get(reviews, k["i"]))
+
+
+def categories_by_id(judgments: DataFrame, key: str, good: str, bad: str) -> DataFrame:
+    """(key, good, bad): all reward categories of both sides' reviews, in order, repeats kept; null reviews have none."""
+    none = F.array().cast("array<string>")
+    side = lambda c: F.coalesce(F.flatten(F.transform(c, lambda r: F.coalesce(r["reward_categories"], none))), none)
+    return judgments.select(key, side(good).alias("good"), side(bad).alias("bad"))
+
+
+def category_index(lists: DataFrame, key: str) -> DataFrame:
+    """(mode, category, support): in how many ids a category occurs, among good ones, bad ones and all."""
+    entry = lambda c, mode: F.transform(c, lambda x: F.struct(F.lit(mode).alias("mode"), x.alias("category")))
+    both = F.array_distinct(F.concat(entry("good", "good"), entry("bad", "bad"), entry("good", "all"), entry("bad", "all")))
+    rows = lists.select(key, F.explode(both).alias("e")).where("e.category IS NOT NULL").select(key, "e.mode", "e.category").distinct()
+    return rows.groupBy("mode", "category").agg(F.count("*").alias("support"))
+
+
+def first_distinct(values: Column, most: int) -> Column:
+    """The first ``most`` different values in their order."""
+    return F.slice(F.array_distinct(values), 1, most)

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from tracemill.plans.registry import QUERIES, SQL
 
-_MODULES = ("traces", "scoring", "pairing", "rewarding", "batching", "asking")
+_MODULES = ("traces", "scoring", "pairing", "rewarding", "batching", "asking", "benchmarks", "loading")
 for _name in _MODULES:
     import_module(f"tracemill.plans.{_name}")
 

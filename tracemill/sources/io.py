@@ -97,7 +97,8 @@ def first_question(df: DataFrame) -> Column:
 
 
 def data_url(content: Column, mime: Column) -> Column:
-    return F.concat(F.lit("data:"), mime, F.lit(";base64,"), F.base64(content))
+    """A data URL; the engine's line breaks inside base64 are taken out, as they do not belong there."""
+    return F.concat(F.lit("data:"), mime, F.lit(";base64,"), F.regexp_replace(F.base64(content), r"[\r\n]", ""))
 
 
 def scene_frames(df: DataFrame, scenes: str) -> DataFrame:
@@ -120,3 +121,125 @@ def write_counts(counts: DataFrame, key: str, count: str, path: str) -> None:
 def read_tables(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Several tables as one, by column names; missing columns are null."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (spark.read.parquet(p) for p in paths))
+
+
+def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The records of files that each are one JSON array; each file is one task's work."""
+    text = spark.read.text(path, wholetext=True)
+    return text.select(F.explode(F.from_json("value", f"array<struct<{_colons(schema)}>>")).alias("r")).select("r.*")
+
+
+def _colons(schema: str) -> str:
+    """``a int, b string`` as ``a:int,b:string``, by the engine's own parser."""
+    from pyspark.sql.types import StructType
+
+    return ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in StructType.fromDDL(schema).fields)
+
+
+def json_array_to_lines(spark: SparkSession, source: str, schema: str, target: str) -> None:
+    """A JSON array as JSON lines."""
+    write_jsonl(read_json_array(spark, source, schema), target)
+
+
+def read_json_object(spark: SparkSession, path: str, value_schema: str, key: str = "key") -> DataFrame:
+    """(key, fields) of files that each are one JSON object of records."""
+    text = spark.read.text(path, wholetext=True)
+    return text.select(F.explode(F.from_json("value", f"map<string,struct<{_colons(value_schema)}>>")).alias(key, "r")).select(key, "r.*")
+
+
+def read_csv(spark: SparkSession, path: str, schema: str, header: bool = True) -> DataFrame:
+    """CSV files of a declared schema, with quoted line ends."""
+    return spark.read.csv(path, schema=schema, header=header, multiLine=True, escape='"')
+
+
+def read_config(path: str) -> dict:
+    """A configuration file on the driver: JSON, or YAML where a parser for it is installed."""
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        text = f.read()
+    try:
+        return json.loads(text)
+    except ValueError:
+        try:
+            import yaml
+        except ImportError as e:
+            raise RuntimeError("a YAML configuration needs the yaml package") from e
+        return yaml.safe_load(text)
+
+
+#: File endings of pictures and videos.
+PICTURES, VIDEOS = ("jpg", "jpeg", "png", "gif", "bmp", "webp"), ("mp4", "avi", "mov", "mkv", "webm", "gif")
+
+
+def read_media(spark: SparkSession, path: str, endings: tuple[str, ...] = PICTURES) -> DataFrame:
+    """(path, name, length, content) of the files with these endings below a folder; decoding is left to a provider."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{" + ",".join(endings) + "}").load(path)
+    return files.select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "length", "content")
+
+
+def read_frames(spark: SparkSession, folder: str) -> DataFrame:
+    """(video, frame, content) of a folder of frame folders, frames numbered by their names (-1 without a number)."""
+    from tracemill.functions.inputs import frame_number
+
+    files = read_media(spark, folder, ("jpg",))
+    return files.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("video"), frame_number(F.col("name")).alias("frame"), "content")
+
+
+def of_kind(df: DataFrame, kind: str, column: str = "data_type") -> DataFrame:
+    """The records of one kind, such as ``video``."""
+    return df.where(F.col(column) == kind)
+
+
+def fetch_frames(df: DataFrame, key: str, video: str, indices: str, fetch, result_type: str = "array<binary>") -> DataFrame:
+    """(key, frames): what ``fetch(video, indices)`` gives for each record, a provider that runs in the tasks; null where it raises."""
+    key_type = df.schema[key].dataType.simpleString()
+
+    def run(frames):
+        import pandas as pd
+
+        def one(v, i):
+            try:
+                return fetch(v, list(i))
+            except Exception:  # noqa: BLE001  a file that cannot be read has no frames
+                return None
+
+        for x in frames:
+            yield pd.DataFrame({"key": x["key"], "frames": [one(v, i) for v, i in zip(x["v"], x["i"])]})
+
+    chosen = df.select(F.col(key).alias("key"), F.col(video).alias("v"), F.col(indices).alias("i"))
+    return chosen.mapInPandas(run, f"key {key_type}, frames {result_type}").withColumnRenamed("key", key)
+
+
+def count_lines(spark: SparkSession, path: str) -> DataFrame:
+    """One row (n_lines, n_good, n_malformed) of JSON lines; blank lines do not count."""
+    lines = spark.read.text(path).where(strip(F.col("value")) != "")
+    good = F.coalesce(F.try_parse_json("value"), F.try_parse_json(F.regexp_replace("value", r"[,\s]+$", ""))).isNotNull()
+    return lines.agg(F.count("*").alias("n_lines"), F.count_if(good).alias("n_good"), F.count_if(~good).alias("n_malformed"))
+
+
+def write_parts(df: DataFrame, path: str, parts: int, by: str, mode: str = "error") -> None:
+    """JSON lines in one folder a part (``part=0`` ...); a record's part follows from its key."""
+    df.withColumn("part", F.pmod(F.xxhash64(by), F.lit(parts))).write.mode(mode).partitionBy("part").json(path)
+
+
+def write_many(df: DataFrame, outputs: dict[str, list[Column]], root: str, where: dict[str, Column] | None = None, mode: str = "error") -> None:
+    """Several JSON line outputs of one pass: the rows are computed once, stored, and each output is read from there."""
+    from tracemill.session import cut, drop
+
+    stored = cut(df)
+    for name, columns in outputs.items():
+        chosen = stored.where(where[name]) if where and name in where else stored
+        write_jsonl(chosen.select(*columns), f"{root}/{name}", mode)
+    drop(stored)
+
+
+def caption_lines(df: DataFrame, path: str, caption: str) -> DataFrame:
+    """(value): JSON lines ``{file name: caption}``."""
+    return df.select(F.to_json(F.create_map(F.regexp_extract(path, r"([^/]*)$", 1), F.col(caption))).alias("value"))
+
+
+def valid_or_logged(df: DataFrame, valid: Column, reason: Column) -> tuple[DataFrame, DataFrame]:
+    """(rows that are valid, the others with the reason); no row is replaced by another."""
+    ok = F.coalesce(valid, F.lit(False))
+    return df.where(ok), df.where(~ok).withColumn("reason", reason)
