@@ -16,7 +16,7 @@ QUERIES = catalog.queries()
 
 def test_numbers_of_whole_texts(spark):
     texts = dict(table(spark, SMALL, "documents").select("doc_id", "text").collect())
-    got = {r.doc_id: (r.n_grouped, r.n_scientific, r.n_plain) for r in QUERIES["extract_numbers_whole"](spark, SMALL).collect()}
+    got = {r.doc_id: (r.n_grouped, r.n_scientific, r.n_plain) for r in QUERIES["numbers_by_kind"](spark, SMALL).collect()}
     assert got == {i: tuple(len(re.findall(p, t or "")) for p in (A._COMMAS, A._SCIENTIFIC, A._PLAIN)) for i, t in texts.items()}
     assert any(re.search(A._PLAIN, t[200:]) for t in texts.values() if t)
 
@@ -31,7 +31,7 @@ def trimmed(response):
 
 def test_phrases_of_long_responses(spark):
     responses = dict(table(spark, SMALL, "sampled_response").select("response_id", "response").collect())
-    got = dict(QUERIES["trimmed_phrase_whole"](spark, SMALL).collect())
+    got = dict(QUERIES["trimmed_phrase"](spark, SMALL).collect())
     assert got == {i: None if t is None else trimmed(t) for i, t in responses.items()}
     assert any(len(t) >= 200 and got[i] for i, t in responses.items() if t)
 
@@ -50,9 +50,9 @@ def test_final_answers_and_labels_of_whole_texts(spark):
     for i, t, _ in rows:
         t = t or ""
         want[i] = final_answer((f"{t}\nso\nFinal answer: {i}", f"{t}\n\nFinal Answer: x{i}\ny", f"Final answer: {i}", f"{t}\n\n答案: {i} ", t)[i % 5])
-    got = {r.doc_id: (r.rationale, r.answer) for r in QUERIES["parse_final_answer_whole"](spark, SMALL).collect()}
+    got = {r.doc_id: (r.rationale, r.answer) for r in QUERIES["parse_final_answer"](spark, SMALL).collect()}
     assert got == {i: x for i, x in want.items() if x} and any(len(x[0]) > 80 for x in got.values())
-    labels = {r.doc_id: (r.body, r.labels) for r in QUERIES["split_labels_whole"](spark, SMALL).collect()}
+    labels = {r.doc_id: (r.body, r.labels) for r in QUERIES["split_labels"](spark, SMALL).collect()}
     assert labels == {i: (t or "", None if n is None else str(n)) for i, t, n in rows}
 
 

@@ -78,6 +78,11 @@ def choice_letter(answer: Column, letters: str = "ABCDEFGHIJKLMN") -> Column:
 _COMMAS, _SCIENTIFIC, _PLAIN = r"-?\b\d{1,3}(?:,\d{3})+\b", r"-?\d+(?:\.\d+)?[eE][+-]?\d+", r"-?(?:\d+\.\d+|\.\d+|\d+\b)(?![eE][+-]?\d+)(?![,\d])"
 
 
+def numbers_by_kind(text: Column) -> Column:
+    """struct<grouped, scientific, plain>: numbers with thousands separators, with exponents, and plain ones."""
+    return F.struct(*(F.regexp_extract_all(text, F.lit(p), F.lit(0)).alias(n) for n, p in (("grouped", _COMMAS), ("scientific", _SCIENTIFIC), ("plain", _PLAIN))))
+
+
 def extract_numbers(text: Column) -> Column:
     """All numbers: those with thousands separators first, then scientific, then plain ones."""
     return F.concat(*(F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in (_COMMAS, _SCIENTIFIC, _PLAIN)))

@@ -118,20 +118,23 @@ def mixture_weights(sizes: DataFrame, size: str = "n", sqrt: bool = True) -> Dat
     return sizes.withColumn("weight", F.round(value / F.sum(value).over(Window.partitionBy()), 6))
 
 
-def weighted_sample(df: DataFrame, key: str, weight: str, n: int, seed: int = 0) -> DataFrame:
-    """(draw, key): ``n`` draws with replacement by weight: hashed uniforms against cumulative weights, by a range join on cells."""
-    order = Window.orderBy("__cell")
-    cells = 1024
-    total = df.agg(F.sum(weight)).first()[0] or 0.0
-    draws = df.sparkSession.range(n).select(F.col("id").alias("draw"), (F.conv(F.substring(hash_order(F.col("id").cast("string"), seed=seed), 1, 13), 16, 10).cast("double") / float(16**13) * total).alias("u"))
-    celled = df.select(key, weight).withColumn("__cell", F.pmod(F.xxhash64(key), F.lit(cells)))
-    sums = celled.groupBy("__cell").agg(F.sum(weight).alias("w"))
-    base = sums.select("__cell", "w", F.coalesce(F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("lo"))
-    inner = Window.partitionBy("__cell").orderBy(key)
-    items = celled.withColumn("hi", F.sum(weight).over(inner)).join(base.select("__cell", "lo"), "__cell")
-    found = draws.join(F.broadcast(base), (draws.u >= base.lo) & (draws.u < base.lo + base.w)).select("draw", "u", "__cell")  # at most ``cells`` rows
-    hit = found.join(items.select("__cell", key, (F.col("lo") + F.col("hi") - F.col(weight)).alias("a"), (F.col("lo") + F.col("hi")).alias("b")), "__cell")
-    return hit.where((F.col("u") >= F.col("a")) & (F.col("u") < F.col("b"))).select("draw", key)
+def weighted_sample(df: DataFrame, key: str, weight: str, n: int, seed: int = 0, digits: int = 3) -> DataFrame:
+    """(draw, key): ``n`` draws with replacement by weight: hashed uniforms against cumulative weights, found cell by cell.
+
+    Rows are dealt to 16^digits cells by hash; a draw finds its cell among their sums, which are as many whatever the data,
+    and its row among the rows of that cell. Rows without weight are never drawn.
+    """
+    hexed = lambda c, k: F.conv(F.substring(hash_order(c, seed=seed), 1, k), 16, 10)
+    celled = df.select(key, F.coalesce(F.col(weight), F.lit(0)).cast("double").alias("w")).where("w > 0").withColumn("cell", hexed(key, digits).cast("int"))
+    sums = celled.groupBy("cell").agg(F.sum("w").alias("all"))
+    base = sums.select("cell", "all", (F.sum("all").over(Window.orderBy("cell")) - F.col("all")).alias("lo"))  # a row a cell
+    total = base.agg(F.max(F.col("lo") + F.col("all")).alias("total"))
+    draws = df.sparkSession.range(n).select(F.col("id").alias("draw"), (hexed(F.col("id").cast("string"), 13).cast("double") / float(16**13)).alias("u")).join(F.broadcast(total))  # one row
+    draws = draws.select("draw", (F.col("u") * F.col("total")).alias("u"))
+    found = draws.join(F.broadcast(base), (draws.u >= base.lo) & (draws.u < base.lo + base["all"])).select("draw", (F.col("u") - F.col("lo")).alias("u"), "cell")
+    items = celled.withColumn("hi", F.sum("w").over(Window.partitionBy("cell").orderBy(key)))
+    hit = found.join(items, "cell")
+    return hit.where((F.col("u") >= F.col("hi") - F.col("w")) & (F.col("u") < F.col("hi"))).select("draw", key)
 
 
 def length_grouped(df: DataFrame, key: str, length: str, batch: int, world: int, megabatch: int = 50, seed: int = 0) -> DataFrame:

@@ -34,19 +34,12 @@ def source_prompt(spark, d):
     return table(spark, d, "dataset_registry").select("ds_name", I.by_name(F.col("ds_name"), (("chart", "number"), ("doc", "phrase")), "word").alias("prompt"))
 
 
-@query("split_labels", "SELECT doc_id, substring(coalesce(text, ''), 1, 20) AS body, CAST(n_chars AS VARCHAR) AS labels FROM documents")
+@query("split_labels", "SELECT doc_id, coalesce(text, '') AS body, CAST(n_chars AS VARCHAR) AS labels FROM documents WHERE NOT contains(coalesce(text, ''), '<|split_token|>')")
 def split_labels(spark, d):
-    joined = F.concat(F.substring(F.coalesce("text", F.lit("")), 1, 20), F.lit("<|split_token|>"), F.col("n_chars").cast("string"))
-    value = F.when(F.col("n_chars").isNull(), F.substring(F.coalesce("text", F.lit("")), 1, 20)).otherwise(joined)
-    return table(spark, d, "documents").select("doc_id", I.split_labels(value).alias("x")).select("doc_id", F.col("x.text").alias("body"), "x.labels")
-
-
-# The SQL above reads the first 20 characters; this one reads whole texts.
-@query("split_labels_whole")
-def split_labels_whole(spark, d):
     text = F.coalesce("text", F.lit(""))
     value = F.when(F.col("n_chars").isNull(), text).otherwise(F.concat(text, F.lit("<|split_token|>"), F.col("n_chars").cast("string")))
-    return table(spark, d, "documents").select("doc_id", I.split_labels(value).alias("x")).select("doc_id", F.col("x.text").alias("body"), "x.labels")
+    docs = table(spark, d, "documents").where(~F.contains(text, F.lit("<|split_token|>")))
+    return docs.select("doc_id", I.split_labels(value).alias("x")).select("doc_id", F.col("x.text").alias("body"), "x.labels")
 
 
 @query("modality", f"""{ctes('p')}, n AS (SELECT pair_id, coalesce(len(list_filter(image, lambda x: x IS NOT NULL AND x <> '')), 0) AS n, video FROM p) SELECT pair_id, CASE WHEN n > 1 THEN 'multi_image' WHEN n = 1 THEN 'image' WHEN coalesce(video, '') <> '' THEN 'video' ELSE 'text' END AS kind FROM n""")
@@ -71,14 +64,8 @@ def _trim_sql() -> str:
     return strip_sql(f"string_split({x}, ' of')[1]")
 
 
-@query("trimmed_phrase", f"{ctes('s')} SELECT response_id, {_trim_sql()} AS phrase FROM s WHERE length(response) < 200")
+@query("trimmed_phrase", f"{ctes('s')} SELECT response_id, {_trim_sql()} AS phrase FROM s")
 def trimmed_phrase(spark, d):
-    return responses(spark, d, "response").where(F.length("response") < 200).select("response_id", I.trimmed_phrase(F.col("response")).alias("phrase"))
-
-
-# The SQL above leaves out responses of 200 characters and more; this one gives every response its phrase.
-@query("trimmed_phrase_whole")
-def trimmed_phrase_whole(spark, d):
     return responses(spark, d, "response").select("response_id", I.trimmed_phrase(F.col("response")).alias("phrase"))
 
 

@@ -162,11 +162,18 @@ def mixture_weights(spark, d):
     return M.mixture_weights(responses(spark, d, "ds_name").groupBy("ds_name").agg(F.count("*").alias("n")))
 
 
-@query("weighted_sample")
+@query("weighted_sample", """WITH i AS (SELECT o_orderkey, o_totalprice, left(md5(CAST(o_orderkey AS VARCHAR) || '|3'), 3) AS cell FROM orders), c AS (SELECT *, sum(o_totalprice) OVER (ORDER BY cell, o_orderkey) AS hi FROM i),
+u AS (SELECT range AS draw, CAST('0x' || substring(md5(CAST(range AS VARCHAR) || '|3'), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE * (SELECT sum(o_totalprice) FROM orders) AS u FROM range(500))
+SELECT draw, o_orderkey FROM u JOIN c ON u >= hi - o_totalprice AND u < hi""")
 def weighted_sample(spark, d):
     return M.weighted_sample(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey", "o_totalprice", 500, 3)
 
 
+@query("megabatches", "WITH r AS (SELECT doc_id, n_chars, row_number() OVER (ORDER BY md5(CAST(doc_id AS VARCHAR) || '|0'), doc_id) - 1 AS rn FROM documents) SELECT doc_id, coalesce(n_chars, 0) AS n_chars, CAST(rn // 64 AS INTEGER) AS mega FROM r")
+def megabatches(spark, d):
+    return length_grouped(spark, d).select("doc_id", "n_chars", "mega")
+
+
 @query("length_grouped")
 def length_grouped(spark, d):
-    return M.length_grouped(table(spark, d, "documents"), "doc_id", "n_chars", 4, 4)
+    return M.length_grouped(table(spark, d, "documents"), "doc_id", "n_chars", 4, 4, 4)

@@ -8,7 +8,7 @@ from tracemill.functions import answers as A
 from tracemill.functions import scores as S
 from tracemill.functions.text import strip
 from tracemill.operators import evaluate as E
-from tracemill.plans.registry import ctes, number_sql, query, responses, strip_sql
+from tracemill.plans.registry import ctes, number_sql, query, responses, strip_sql, tokens_sql
 from tracemill.session import table
 
 # ---- finding answers -------------------------------------------------------
@@ -35,18 +35,12 @@ def _count(x: str, sub: str) -> str:
     return f"((length({x}) - length(replace({x}, '{sub}', ''))) // length('{sub}'))"
 
 
-@query("parse_final_answer", f"""WITH r AS (SELECT doc_id, {_FINAL} AS r FROM (SELECT doc_id, substring(coalesce(text, ''), 1, 80) AS t FROM documents)),
+@query("parse_final_answer", f"""WITH r AS (SELECT doc_id, {_FINAL} AS r FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)),
 t AS (SELECT doc_id, r, CASE WHEN contains(r, 'Final answer:') THEN 'Final answer:' WHEN contains(r, 'Final Answer:') THEN 'Final Answer:' WHEN contains(r, '答案:') THEN '答案:' END AS g FROM r),
 x AS (SELECT doc_id, r, g, string_split(r, g) AS s FROM t WHERE g IS NOT NULL),
 y AS (SELECT doc_id, r, g, {strip_sql("substring(r, 1, length(r) - length(s[len(s)]) - length(g))")} AS rationale, {strip_sql("s[len(s)]")} AS answer, len(s) - 1 AS n FROM x)
 SELECT doc_id, rationale, answer FROM y WHERE n <= 2 AND length(r) - length(replace(r, chr(10), '')) >= 2 AND rationale <> '' AND NOT contains(answer, chr(10))""")
 def parse_final_answer(spark, d):
-    return _parsed(spark, d, F.substring(F.coalesce("text", F.lit("")), 1, 80))
-
-
-# The SQL above reads the first 80 characters; this one reads whole texts.
-@query("parse_final_answer_whole")
-def parse_final_answer_whole(spark, d):
     return _parsed(spark, d, F.coalesce("text", F.lit("")))
 
 
@@ -66,22 +60,17 @@ def answer_reward(spark, d):
     return responses(spark, d, "response", "answer").select("response_id", S.answer_reward(F.col("response"), F.col("answer")).alias("reward"))
 
 
-# RE2 has no look-ahead: a plain number is followed by neither a digit, a comma nor an exponent, so what follows is kept
-# in the match and taken off again; numbers with thousands or exponents are found as above.
-@query("extract_numbers", r"""WITH t AS (SELECT doc_id, substring(coalesce(text, ''), 1, 200) AS t FROM documents)
-SELECT doc_id, CAST(len(regexp_extract_all(t, '-?\b\d{1,3}(?:,\d{3})+\b')) AS INTEGER) AS n_grouped, CAST(len(regexp_extract_all(t, '-?\d+(?:\.\d+)?[eE][+-]?\d+')) AS INTEGER) AS n_scientific FROM t""")
+# RE2 has no look-ahead, which plain numbers need, so the SQL has numbers with thousands and with exponents; all three
+# kinds are in numbers_by_kind and all_numbers, which are tested against Python's expressions.
+@query("extract_numbers", r"""SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '-?\b\d{1,3}(?:,\d{3})+\b')) AS INTEGER) AS n_grouped, CAST(len(regexp_extract_all(coalesce(text, ''), '-?\d+(?:\.\d+)?[eE][+-]?\d+')) AS INTEGER) AS n_scientific FROM documents""")
 def extract_numbers(spark, d):
-    t = F.substring(F.coalesce("text", F.lit("")), 1, 200)
-    count = lambda p: F.size(F.regexp_extract_all(t, F.lit(p), F.lit(0)))
-    return table(spark, d, "documents").select("doc_id", count(A._COMMAS).alias("n_grouped"), count(A._SCIENTIFIC).alias("n_scientific"))
+    return numbers_by_kind(spark, d).drop("n_plain")
 
 
-# The SQL above reads a prefix and two patterns; this one reads whole texts with all three, which RE2 cannot express.
-@query("extract_numbers_whole")
-def extract_numbers_whole(spark, d):
-    t = F.coalesce("text", F.lit(""))
-    count = lambda p: F.size(F.regexp_extract_all(t, F.lit(p), F.lit(0)))
-    return table(spark, d, "documents").select("doc_id", count(A._COMMAS).alias("n_grouped"), count(A._SCIENTIFIC).alias("n_scientific"), count(A._PLAIN).alias("n_plain"))
+@query("numbers_by_kind")
+def numbers_by_kind(spark, d):
+    n = A.numbers_by_kind(F.coalesce("text", F.lit("")))
+    return table(spark, d, "documents").select("doc_id", n.alias("n")).select("doc_id", F.size("n.grouped").alias("n_grouped"), F.size("n.scientific").alias("n_scientific"), F.size("n.plain").alias("n_plain"))
 
 
 @query("all_numbers")
@@ -126,7 +115,13 @@ def consistency_flag(spark, d):
     return responses(spark, d, "meta").select("response_id", A.is_consistent(F.col("meta.consistency")).alias("consistent"))
 
 
-@query("fix_answer")
+_FIXED = rf"""{ctes('s')}, a AS (SELECT response_id, response AS r, answer_pred AS p, answer AS g, contains(lower(answer_pred), lower(answer)) OR contains(replace(regexp_replace(lower(answer_pred), '^\.+|\.+$', '', 'g'), ',', ''), replace(regexp_replace(lower(answer), '^\.+|\.+$', '', 'g'), ',', '')) AS holds FROM s),
+b AS (SELECT response_id, r, CASE WHEN holds AND p <> '' AND contains(r, p) THEN string_split(r, p)[-1] END AS tail, p, g FROM a),
+c AS (SELECT response_id, CASE WHEN tail IS NOT NULL THEN {strip_sql(rf"regexp_replace({strip_sql('substring(r, 1, length(r) - length(tail) - length(p)) || g || tail')}, '^\*+|\*+$', '', 'g')")} ELSE r END AS w FROM b),
+d AS (SELECT response_id, w, string_split(w, chr(10))[-1] AS last FROM c)"""
+
+
+@query("fix_answer", f"{_FIXED} SELECT response_id, CASE WHEN contains(w, chr(10)) AND contains(last, '**Final') THEN {strip_sql("substring(w, 1, length(w) - length(last)) || replace(last, '**Final', 'Final')")} ELSE w END AS response FROM d")
 def fix_answer(spark, d):
     r = responses(spark, d, "response", "answer", "answer_pred")
     return r.select("response_id", A.fix_answer(F.col("response"), F.col("answer_pred"), F.col("answer")).alias("response"))
@@ -211,13 +206,6 @@ def check_answer(spark, d):
     return responses(spark, d, "answer_pred", "answer").select("response_id", S.check_answer(F.col("answer_pred"), F.col("answer"), modes).alias("correct"))
 
 
-@query("check_answer_by_source")
-def check_answer_by_source(spark, d):
-    r = responses(spark, d, "ds_name", "answer_pred", "answer")
-    scored = r.select("ds_name", S.check_answer(F.col("answer_pred"), F.col("answer"), S.metric_modes(F.col("ds_name"))).alias("correct"))
-    return scored.groupBy("ds_name").agg(F.count("*").alias("n"), F.sum("correct").alias("n_correct"))
-
-
 @query("edit_distance", "SELECT p_partkey, CAST(levenshtein(p_name, p_type) AS INTEGER) AS distance FROM part")
 def edit_distance(spark, d):
     return table(spark, d, "part").select("p_partkey", F.levenshtein("p_name", "p_type").alias("distance"))
@@ -272,19 +260,46 @@ def vqa_accuracy(spark, d):
     return table(spark, d, "orders").agg(F.count("*").alias("n"), F.round(F.avg(S.consensus(F.col("o_orderkey") % 11)), 6).alias("acc"))
 
 
-@query("vqa_score_answers")
+def evalai_sql(x: str, name: str) -> str:
+    """CTEs that end in ``name``: (id, n), the common form of (id, v) rows of the relation ``x``."""
+    quoted = lambda c: "'" + c.replace("'", "''") + "'"
+    dropped = "t"
+    for sign in A.SIGNS:
+        c = quoted(sign)
+        dropped = f"replace({dropped}, {c}, CASE WHEN contains(t, {quoted(sign + ' ')}) OR contains(t, {quoted(' ' + sign)}) OR g THEN '' ELSE ' ' END)"
+    words = ", ".join(f"{quoted(k)}: {quoted(v)}" for k, v in (A.NUMBER_WORDS | A.CONTRACTIONS).items())
+    clean = strip_sql(r"regexp_replace(replace(regexp_replace(lower(v), '[,?]', '', 'g'), chr(39) || 's', ' ' || chr(39) || 's'), '[\n\t]', ' ', 'g')")
+    return rf"""{name}_t AS (SELECT id, {clean} AS t FROM {x}), {name}_g AS (SELECT id, t, regexp_matches(t, '\d,+\d') AS g FROM {name}_t), {name}_d AS (SELECT id, {dropped} AS o FROM {name}_g),
+{name}_w AS (SELECT id, list_filter(string_split_regex(lower(replace(replace(regexp_replace(o, '\.(\d)', chr(1) || '\1', 'g'), '.', ''), chr(1), '.')), '[\s\p{{Z}}]+'), lambda w: w <> '' AND w NOT IN {A.ARTICLES}) AS w FROM {name}_d),
+{name} AS (SELECT id, array_to_string(list_transform(w, lambda x: coalesce(MAP {{{words}}}[x], x)), ' ') AS n FROM {name}_w)"""
+
+
+@query("vqa_score_answers", f"""{ctes('s')}, v AS (SELECT response_id AS id, answer_pred, answer FROM s WHERE answer_pred IS NOT NULL), p AS (SELECT id, answer_pred AS v FROM v), q AS (SELECT id, answer AS v FROM v), r AS (SELECT id, answer || ' x' AS v FROM v), {evalai_sql('p', 'pn')}, {evalai_sql('q', 'qn')}, {evalai_sql('r', 'rn')},
+m AS (SELECT pn.id, (CASE WHEN pn.n = qn.n THEN 1 ELSE 0 END) * (1 + pn.id % 10) + (CASE WHEN pn.n = rn.n THEN 1 ELSE 0 END) * (9 - pn.id % 10) AS m FROM pn JOIN qn USING (id) JOIN rn USING (id))
+SELECT id AS response_id, round(CASE WHEN m = 0 THEN 0 ELSE (m * least(1.0, (m - 1) / 3) + (10 - m) * least(1.0, m / 3)) / 10 END, 6)::DOUBLE AS score FROM m""")
 def vqa_score_answers(spark, d):
     r = responses(spark, d, "answer_pred", "answer").where("answer_pred IS NOT NULL")
-    answers = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.when(F.pmod(F.xxhash64(F.col("response_id"), i), F.lit(2)) == 0, F.col("answer")).otherwise(F.concat(F.col("answer"), F.lit(" x"))))
+    # ten annotators, of whom 1 + id % 10 gave the answer and the others something else
+    answers = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.when(i <= F.col("response_id") % 10, F.col("answer")).otherwise(F.concat(F.col("answer"), F.lit(" x"))))
     return r.select("response_id", F.round(S.vqa_score(F.col("answer_pred"), answers), 6).alias("score"))
 
 
-@query("evalai_normalize")
+@query("evalai_normalize", f"{ctes('s')}, p AS (SELECT response_id AS id, answer AS v FROM s), {evalai_sql('p', 'pn')} SELECT id AS response_id, n AS answer FROM pn")
 def evalai_normalize(spark, d):
     return responses(spark, d, "answer").select("response_id", A.evalai_normalize(F.col("answer")).alias("answer"))
 
 
-@query("normalize_extracted")
+@query("evalai_normalize_texts", f"{ctes('s')}, p AS (SELECT response_id AS id, question AS v FROM s), {evalai_sql('p', 'pn')} SELECT id AS response_id, n AS text FROM pn")
+def evalai_normalize_texts(spark, d):
+    return responses(spark, d, "question").select("response_id", A.evalai_normalize(F.col("question")).alias("text"))
+
+
+_EXTRACTED = f"""WITH a AS (SELECT item_id, answer, coalesce(choices, []) AS choices, choices IS NOT NULL AS multi, {strip_sql('answer')} AS bare FROM eval_items), b AS (SELECT *, CASE WHEN regexp_extract(bare, '\\(([a-zA-Z])\\)', 1) <> '' THEN upper(regexp_extract(bare, '\\(([a-zA-Z])\\)', 1)) ELSE bare END AS shown, {number_sql('answer')} AS number FROM a),
+c AS (SELECT *, CASE WHEN regexp_matches(shown, '^[A-Z]$') THEN ascii(shown) - 64 END AS place FROM b),
+d AS (SELECT *, CASE WHEN place <= len(choices) THEN choices[place] END AS named, list_sort(list_transform(list_zip(choices, range(1, len(choices) + 1)), lambda z: {{'d': levenshtein(shown, z[1]), 'i': z[2], 'c': z[1]}}))[1].c AS near FROM c)"""
+
+
+@query("normalize_extracted", f"{_EXTRACTED} SELECT item_id, CASE WHEN multi THEN coalesce(named, near) WHEN item_id % 2 = 0 THEN CAST(CAST(trunc(number) AS BIGINT) AS VARCHAR) ELSE CAST(round(number * 10) / 10 AS VARCHAR) END AS answer FROM d")
 def normalize_extracted(spark, d):
     items = table(spark, d, "eval_items")
     kind = F.when(F.col("choices").isNotNull(), "multi_choice").otherwise("free_form")
@@ -293,6 +308,22 @@ def normalize_extracted(spark, d):
     return items.select("item_id", out.alias("answer"))
 
 
+_UNITS = "'degrees|degree|\\\\angle|°|%|cm'"
+_BLANKS = "'[\\s\\p{Z}]+'"
+_JUDGED = f"""{ctes('s')}, l AS (SELECT response_id AS id, ds_name, answer_pred AS prediction, answer AS target, {strip_sql('answer_pred')} AS p, {strip_sql('answer')} AS g FROM s), a AS (SELECT id, prediction AS v FROM l), b AS (SELECT id, target AS v FROM l), {evalai_sql('a', 'an')}, {evalai_sql('b', 'bn')},
+n AS (SELECT l.*, {_MODES_SQL.replace("'chart'", "'chartqa'").replace('contains(x,', 'contains(ds_name,')} AS modes, an.n AS pn, bn.n AS gn, {_pct('target', '')} AS t, {_pct('prediction', '')} AS q, {number_sql(f"regexp_replace(target, {_UNITS}, '', 'g')")} AS mt, {number_sql(f"regexp_replace(prediction, {_UNITS}, '', 'g')")} AS mp,
+1 - levenshtein(regexp_replace(lower(g), {_BLANKS}, ' ', 'g'), regexp_replace(lower(p), {_BLANKS}, ' ', 'g')) / greatest(length(prediction), length(target), 1) AS near FROM l JOIN an USING (id) JOIN bn USING (id)),
+c AS (SELECT ds_name, CASE WHEN lower(prediction) = lower(target) OR coalesce(contains(modes, 'vqa_score') AND pn = gn AND pn <> '', false) OR coalesce(contains(modes, 'mc_score') AND {_mc_sql('p', 'g')}, false) OR coalesce(contains(modes, 'math_score') AND {_relative_sql('mt', 'mp', '0.001')}, false) OR coalesce(contains(modes, 'anls') AND near > 0.9, false)
+OR coalesce(contains(modes, 'relaxed_accuracy') AND CASE WHEN length(target) = 4 AND starts_with(target, '20') THEN lower(prediction) = lower(target) ELSE {_relative_sql('t', 'q', '0.05')} END, false) THEN 1 ELSE 0 END AS correct FROM n)"""
+
+
+@query("check_answer_by_source", f"{_JUDGED} SELECT ds_name, count(*) AS n, CAST(sum(correct) AS BIGINT) AS n_correct FROM c GROUP BY ds_name")
+def check_answer_by_source(spark, d):
+    r = responses(spark, d, "ds_name", "answer_pred", "answer")
+    scored = r.select("ds_name", S.check_answer(F.col("answer_pred"), F.col("answer"), S.metric_modes(F.col("ds_name"))).alias("correct"))
+    return scored.groupBy("ds_name").agg(F.count("*").alias("n"), F.sum("correct").alias("n_correct"))
+
+
 # ---- accuracies ------------------------------------------------------------
 
 _FACETS = f"{ctes('s')}"
@@ -331,7 +362,14 @@ def score_gain(spark, d):
     return E.gain(scores, table(spark, d, "dataset_registry").select("ds_name", F.col("repeat_time").alias("acc")), ["ds_name"])
 
 
-@query("bleu4")
+def _grams_sql(words: str) -> str:
+    return "list_concat(" + ", ".join(f"list_transform(range(1, greatest(1, CAST(len({words}) - {n} + 2 AS BIGINT))), lambda i: {n} || ':' || array_to_string({words}[i:i + {n - 1}], ' '))" for n in range(1, 5)) + ")"
+
+
+@query("bleu4", f"""{ctes('s')}, t AS (SELECT response_id AS id, {tokens_sql('lower(question)')} AS c, {tokens_sql('lower(question_orig)')} AS r FROM s WHERE question_orig IS NOT NULL),
+g AS (SELECT id, unnest({_grams_sql('c')}) AS gram, 1 AS c, 0 AS r FROM t UNION ALL SELECT id, unnest({_grams_sql('r')}), 0, 1 FROM t), k AS (SELECT id, gram, sum(c) AS c, sum(r) AS r FROM g GROUP BY ALL),
+o AS (SELECT id, string_split(gram, ':')[1] AS n, sum(least(c, r)) AS hits, sum(c) AS total FROM k GROUP BY ALL), l AS (SELECT id, sum(ln(hits / total)) / 4 AS logs, count(*) AS found FROM o WHERE hits > 0 GROUP BY id)
+SELECT t.id AS response_id, round(CASE WHEN found = 4 THEN exp(logs + CASE WHEN len(c) >= len(r) THEN 0 ELSE 1 - len(r) / len(c) END) ELSE 0 END, 6)::DOUBLE AS bleu FROM t LEFT JOIN l ON l.id = t.id""")
 def bleu4(spark, d):
     r = responses(spark, d, "question", "question_orig").where("question_orig IS NOT NULL")
     return E.bleu4(r, "response_id", F.col("question"), F.col("question_orig"))
