@@ -18,6 +18,15 @@ def frame_indices_middle(length: Column, count: Column) -> Column:
     return F.when(used < 1, picked).otherwise(F.concat(picked, F.array_repeat(F.element_at(F.concat(F.array(F.lit(0)), picked), -1), count.cast("int") - used)))
 
 
+def frame_indices_drawn(length: Column, count: Column, key: Column, seed: int = 0) -> Column:
+    """A frame of each of ``count`` even stretches, drawn by the hash of key, seed and stretch, so that it repeats; the last one fills up."""
+    used = F.least(count, length).cast("int")
+    edge = lambda k: F.floor(k * length / F.when(used > 0, used)).cast("int")
+    drawn = lambda k: F.conv(F.substring(F.md5(F.concat_ws("|", key.cast("string"), F.lit(str(seed)), k.cast("string"))), 1, 7), 16, 10).cast("int")
+    picked = F.transform(_range(used), lambda k: (edge(k) + F.pmod(drawn(k), F.greatest(F.lit(1), edge(k + 1) - edge(k)))).cast("int"))
+    return F.when(used < 1, picked).otherwise(F.concat(picked, F.array_repeat(F.element_at(F.concat(F.array(F.lit(0)), picked), -1), count.cast("int") - used)))
+
+
 def frame_indices_fps(length: Column, input_fps: float, fps: float, most: int = -1) -> Column:
     """Frames at ``fps`` pictures a second, from the middle of the first interval on, at most ``most``."""
     duration = length / input_fps

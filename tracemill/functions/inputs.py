@@ -108,8 +108,18 @@ def multi_choice_index(response: Column, choices: Column, key: Column) -> Column
 
 
 # Words by which questions about quantities are told, and spelt-out numbers.
-QUANTITY_WORDS = "most least fewest more less fewer largest smallest greatest larger smaller greater highest lowest higher lower increase decrease minimum maximum max min mean average median total sum add subtract difference quotient gap half double twice triple square cube root approximate approximation triangle rectangle circle sphere cylinder cone pyramid multiply divide percentage percent ratio proportion fraction rate".split()
-NUMERALS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split()
+QUANTITY_WORDS = (
+    "most", "least", "fewest", "more", "less", "fewer", "largest", "smallest", "greatest", "larger", "smaller", "greater", "highest", "lowest",
+    "higher", "lower", "increase", "decrease", "minimum", "maximum", "max", "min", "mean", "average", "median", "total", "sum", "add", "subtract",
+    "difference", "quotient", "gap", "half", "double", "twice", "triple", "square", "cube", "root", "approximate", "approximation", "triangle",
+    "rectangle", "circle", "sphere", "cylinder", "cone", "pyramid", "multiply", "divide", "percentage", "percent", "ratio", "proportion", "fraction",
+    "rate",
+)
+NUMERALS = (
+    "zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen",
+    "sixteen", "seventeen", "eighteen", "nineteen", "twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety", "hundred",
+    "thousand", "million", "billion",
+)
 
 
 def text_traits(text: Column) -> Column:

@@ -52,9 +52,9 @@ STYLES = (*_SIMPLE, "llama2")
 #: The five registered templates, with a neutral system message.
 TEMPLATES = {
     "bilingual_colon": Template("message_colon_two", "", "", ("<human>", "<bot>"), " ", "</s>"),
-    "chat_im_eot": Template("mpt", "<|im_start|>system\n{system}", roles=("<|im_start|>user\n", "<|im_start|>assistant\n"), first="<|im_end|>"),
+    "Hermes-2": Template("mpt", "<|im_start|>system\n{system}", roles=("<|im_start|>user\n", "<|im_start|>assistant\n"), first="<|im_end|>"),
     "chat_im": Template("mpt", "<|im_start|>system\n{system}", roles=("<|im_start|>user\n", "<|im_start|>assistant\n"), first="<|im_end|>"),
-    "chat_phi": Template("mpt", "<|system|>\n{system}", roles=("<|user|>\n", "<|assistant|>\n"), first="<|end|>"),
+    "phi3-chat": Template("mpt", "<|system|>\n{system}", roles=("<|user|>\n", "<|assistant|>\n"), first="<|end|>"),
     "chat_im_line": Template("mpt", "<|im_start|>system\n{system}", roles=("<|im_start|>user\n", "<|im_start|>assistant\n"), first="<|im_end|>\n"),
 }
 

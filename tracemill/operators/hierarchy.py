@@ -206,3 +206,17 @@ def ordered_clusters(members: DataFrame, cluster: str, name: str) -> DataFrame:
     """(cluster, members, place): clusters by falling size, then by their sorted members. For the names of one bounded list."""
     lists = members.groupBy(cluster).agg(F.array_sort(F.collect_list(name)).alias("members"))
     return lists.withColumn("place", F.row_number().over(Window.orderBy(-F.size("members"), "members")).cast("bigint"))
+
+
+def leaf_clusters(leaves: DataFrame, distances: DataFrame, support: DataFrame, category: str, threshold: float = 0.2) -> DataFrame:
+    """(leaf, cluster, representative, size): inside each leaf the clusters of members nearer than the threshold.
+
+    Distances between leaves are left out first, so no cluster spans two. A member without support can represent only
+    members without any.
+    """
+    side = lambda c: leaves.select(F.col(category).alias(c), F.col("leaf").alias(f"leaf_{c}"))
+    inside = distances.join(side("a"), "a").join(side("b"), "b").where("leaf_a = leaf_b").select("a", "b", "distance")
+    clusters = threshold_clusters(leaves, inside, category, threshold)
+    full = leaves.select(category).join(support, category, "left").select(category, F.coalesce("support", F.lit(0)).alias("support"))
+    named = representatives(clusters, full, category)
+    return named.join(leaves.select(F.col(category).alias("representative"), "leaf"), "representative").select("leaf", "cluster", "representative", "size")

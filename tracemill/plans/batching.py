@@ -89,7 +89,7 @@ def frame_tags(spark, d):
 SELECT conv_id, CAST(pos AS INTEGER) AS pos, replace(v, '<image>', '<img>' || repeat('<IMG_CONTEXT>', 2) || '</img>') AS text FROM x WHERE v IS NOT NULL""")
 def expand_image_tokens(spark, d):
     x = conversations(spark, d, "conversations").select("conv_id", F.posexplode("conversations").alias("pos", "m")).where("m.value IS NOT NULL")
-    tiles = F.array_repeat(F.lit(1), 50)
+    tiles = F.array_repeat(F.lit(1), F.size(F.split("m.value", "<image>")))  # one tile for every image there is
     return x.select("conv_id", "pos", M.expand_image_tokens(F.col("m.value"), tiles, 2).alias("text"))
 
 

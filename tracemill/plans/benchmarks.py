@@ -304,3 +304,33 @@ def padded_flags(spark, d):
     k = records(table(spark, d, "packing_sample"), "sample_id", "image_flags")
     flags = K.pad_flags(F.coalesce("image_flags", F.array().cast("array<int>")), F.lit(12))
     return k.select("sample_id", F.array_join(flags, ",").alias("flags"))
+
+
+@query("frame_indices_drawn", """WITH e AS (SELECT p_partkey, p_size AS n, least(8, p_size) AS u FROM part), i AS (SELECT p_partkey, n, u, unnest(range(0, CAST(u AS BIGINT))) AS k FROM e), d AS (SELECT p_partkey, k, k * n // u AS low, (k + 1) * n // u AS high, CAST('0x' || substring(md5(p_partkey || '|0|' || k), 1, 7) AS BIGINT) AS h FROM i),
+f AS (SELECT p_partkey, k, low + h % greatest(1, high - low) AS f FROM d), l AS (SELECT p_partkey, list(f ORDER BY k) AS fs FROM f GROUP BY p_partkey)
+SELECT p_partkey, array_to_string(list_concat(fs, list_transform(range(0, 8 - len(fs)), lambda x: fs[-1])), ',') AS frames FROM l""")
+def frame_indices_drawn(spark, d):
+    frames = V.frame_indices_drawn(F.col("p_size"), F.lit(8), F.col("p_partkey"))
+    return table(spark, d, "part").select("p_partkey", F.array_join(F.transform(frames, lambda x: x.cast("string")), ",").alias("frames"))
+
+
+@query("frame_indices_fixed", "SELECT p_partkey, array_to_string(list_transform(range(0, 8), lambda k: least(k * p_size // 8 + 1, p_size - 1)), ',') AS frames FROM part")
+def frame_indices_fixed(spark, d):
+    frames = V.frame_indices_fixed(F.col("p_size"), F.lit(8), 1)
+    return table(spark, d, "part").select("p_partkey", F.array_join(F.transform(frames, lambda x: x.cast("string")), ",").alias("frames"))
+
+
+@query("frame_indices_fps", "SELECT p_partkey, coalesce(array_to_string(list_filter(list_transform(range(0, CAST(floor(p_size * 25 / 25.0 / 0.5) AS BIGINT)), lambda k: CAST(round_even((k + 0.5) * 0.5 * 25, 0) AS INTEGER)), lambda x: x < p_size * 25), ','), '') AS frames FROM part")
+def frame_indices_fps(spark, d):
+    frames = V.frame_indices_fps(F.col("p_size") * 25, 25.0, 2.0)
+    return table(spark, d, "part").select("p_partkey", F.array_join(F.transform(frames, lambda x: x.cast("string")), ",").alias("frames"))
+
+
+@query("leaf_clusters")
+def leaf_clusters(spark, d):
+    from tracemill.plans.registry import QUERIES
+    from tracemill.plans.rewarding import _labels
+
+    labels = _labels(spark, d)
+    support = H.category_support(labels, "category", "judgment_id")
+    return H.leaf_clusters(QUERIES["birch_leaves"](spark, d), H.category_cosine(labels, "category", "judgment_id"), support, "category", 0.2)

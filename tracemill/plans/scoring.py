@@ -274,9 +274,17 @@ def evalai_sql(x: str, name: str) -> str:
 {name} AS (SELECT id, array_to_string(list_transform(w, lambda x: coalesce(MAP {{{words}}}[x], x)), ' ') AS n FROM {name}_w)"""
 
 
-@query("vqa_score_answers", f"""{ctes('s')}, v AS (SELECT response_id AS id, answer_pred, answer FROM s WHERE answer_pred IS NOT NULL), p AS (SELECT id, answer_pred AS v FROM v), q AS (SELECT id, answer AS v FROM v), r AS (SELECT id, answer || ' x' AS v FROM v), {evalai_sql('p', 'pn')}, {evalai_sql('q', 'qn')}, {evalai_sql('r', 'rn')},
-m AS (SELECT pn.id, (CASE WHEN pn.n = qn.n THEN 1 ELSE 0 END) * (1 + pn.id % 10) + (CASE WHEN pn.n = rn.n THEN 1 ELSE 0 END) * (9 - pn.id % 10) AS m FROM pn JOIN qn USING (id) JOIN rn USING (id))
-SELECT id AS response_id, round(CASE WHEN m = 0 THEN 0 ELSE (m * least(1.0, (m - 1) / 3) + (10 - m) * least(1.0, m / 3)) / 10 END, 6)::DOUBLE AS score FROM m""")
+_VOTED = f"""{ctes('s')}, v AS (SELECT response_id AS id, answer_pred, answer FROM s WHERE answer_pred IS NOT NULL), p AS (SELECT id, answer_pred AS v FROM v), q AS (SELECT id, answer AS v FROM v), r AS (SELECT id, answer || ' x' AS v FROM v), {evalai_sql('p', 'pn')}, {evalai_sql('q', 'qn')}, {evalai_sql('r', 'rn')},
+m AS (SELECT pn.id, (CASE WHEN pn.n = qn.n THEN 1 ELSE 0 END) * (1 + pn.id % 10) + (CASE WHEN pn.n = rn.n THEN 1 ELSE 0 END) * (9 - pn.id % 10) AS m FROM pn JOIN qn USING (id) JOIN rn USING (id)),
+z AS (SELECT id, CASE WHEN m = 0 THEN 0 ELSE (m * least(1.0, (m - 1) / 3) + (10 - m) * least(1.0, m / 3)) / 10 END AS score FROM m)"""
+
+
+@query("vqa_accuracy_answers", f"{_VOTED} SELECT count(*) AS n, round(avg(round(score, 6)), 5)::DOUBLE AS acc FROM z")
+def vqa_accuracy_answers(spark, d):
+    return vqa_score_answers(spark, d).agg(F.count("*").alias("n"), F.round(F.avg("score"), 5).alias("acc"))
+
+
+@query("vqa_score_answers", f"{_VOTED} SELECT id AS response_id, round(score, 6)::DOUBLE AS score FROM z")
 def vqa_score_answers(spark, d):
     r = responses(spark, d, "answer_pred", "answer").where("answer_pred IS NOT NULL")
     # ten annotators, of whom 1 + id % 10 gave the answer and the others something else
