@@ -13,6 +13,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -157,7 +158,7 @@ def is_refusal(text: str, most_figures: int = 5, long: int = 60) -> bool:
     the way belongs to an answer.
     """
     bare = MARK.sub(" ", text) if "<|" in text else text
-    if len(_FIGURES.findall(bare)) > most_figures:  # a value that reckons
+    if next(islice(_FIGURES.finditer(bare), most_figures, None), None):  # a value that reckons
         return False
     if _REAL_ANSWER.search(bare.replace("Answer:", "", 1) if "<|" in text else bare):
         return False

@@ -20,7 +20,20 @@ HALF_MARK = re.compile(r"<(?:\|[^|<>]*\|?)?$")
 AFTER_CUT = re.compile(r"\s*(?:\.\.\.+|…+|\[(?:\.\.\.|…|cut|truncated|snip)\]|\((?:\.\.\.|…|cut|truncated|snip)\))\s*$", re.I)
 #: Dots set off by a blank that also stand inside the line, or behind another sign, separate sentences there.
 _ORNAMENT = re.compile(r"\s\.\.\.\s.*\s\.\.\.\s*$|[-*\s]\s\.\.\.\s*$", re.S)
-TERMINAL = re.compile(r"[.!?。！？][\"'”’»)\]」』*_`]*$")
+#: Signs that may stand behind a full stop.
+_BEHIND = "\"'”’»)]」』*_`"
+
+
+def finished(text: str) -> bool:
+    """Whether a text ends in a full stop or its like, whatever closes behind it."""
+    return text.rstrip(_BEHIND)[-1:] in tuple(".!?。！？")
+
+
+def after_cut(text: str) -> re.Match | None:
+    """What a shortener wrote at the end."""
+    return AFTER_CUT.search(text) if text.endswith("...") or text[-1:] in "…])" else None
+
+
 #: Words that open the closing statement of an answer.
 CLOSING = re.compile(
     r"(?:\b(?:final )?answer\b|\bresult\b|^(?:therefore|hence|thus|donc|also|daher|por tanto|por lo tanto),|\bsolution\b|\bconclusion\b|\br[ée]ponse\b|\br[ée]sultat\b|\brespuesta\b|\bresultado\b|\bantwort\b|\bergebnis\b|答案|结果|\\boxed)", re.I
@@ -144,15 +157,15 @@ def bare_item(text: str) -> bool:
 
 def _line_is_cut(line: str, only: bool) -> str | None:
     """Why the last line is cut, None for a complete one; ``only`` says that nothing stands before it."""
-    shortened = AFTER_CUT.search(line)
+    shortened = after_cut(line.rstrip())
     if shortened:
         if _ORNAMENT.search(line):
             return None
         line = line[: shortened.start()]
-        if not line or TERMINAL.search(line):
+        if not line or finished(line):
             return None
         return "shortened"
-    if TERMINAL.search(line):
+    if finished(line):
         return None
     words = WORD.findall(line.lower())
     # sentences of the line; the last one is unfinished or a closing statement
@@ -192,7 +205,7 @@ def cut_reason(text: str | None) -> str | None:
         return None
     if body.endswith("�"):
         return "broken character"
-    shortened = AFTER_CUT.search(body)
+    shortened = after_cut(body)
     core = body[: shortened.start()].rstrip() if shortened else body
     if not core:
         return None
@@ -224,11 +237,14 @@ def terminality(text: str | None, reason: str | None) -> float | None:
     """
     if text is None or not text.strip():
         return None
-    tail = ANY_MARK.sub(" ", text[-200:]).rstrip()
+    tail = text[-200:]
+    tail = (ANY_MARK.sub(" ", tail) if "<|" in tail else tail).rstrip()
     if reason is None:
-        return 1.0 if TERMINAL.search(tail) else 0.9 if CLOSING.search(tail) else 0.7
+        if finished(tail):
+            return 1.0
+        return 0.9 if "<|answer_end|>" in text[-40:] or CLOSING.search(tail.rsplit("\n", 1)[-1][-100:]) else 0.7
     words = WORD.findall(tail.lower())
-    score = _SCORES.get(reason, 0.4 if reason.startswith("open") and TERMINAL.search(tail) else 0.0)
+    score = _SCORES.get(reason, 0.4 if reason.startswith("open") and finished(tail) else 0.0)
     return score / 4 if words and words[-1] in _LINKS else score
 
 

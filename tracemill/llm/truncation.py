@@ -40,7 +40,8 @@ _SEED = 77_001
 
 def beginnings(word_ids: np.ndarray) -> list[np.ndarray]:
     """The shingles of each beginning of a value."""
-    return [shingle_hashes(word_ids[:scale], SHINGLE) for scale in SCALES if len(word_ids) >= scale]
+    hashes = shingle_hashes(word_ids[: SCALES[-1]], SHINGLE)
+    return [hashes[: scale - SHINGLE + 1] for scale in SCALES if len(word_ids) >= scale]
 
 
 def open_end(text: str) -> str | None:
