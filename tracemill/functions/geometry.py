@@ -91,3 +91,9 @@ def tiles_per_image(most: Column, images: Column) -> Column:
 def stitch_offsets(position: Column, columns: int, cell: int) -> Column:
     """struct<x, y> of a picture in a grid that is filled row by row."""
     return F.struct((position % columns * cell).alias("x"), (F.floor(position / columns).cast("int") * cell).alias("y"))
+
+
+def square_box(width: Column, height: Column) -> Column:
+    """struct<side, left, top>: the square that a picture is set into, centred; odd rests go right and down."""
+    side = F.greatest(width, height)
+    return F.struct(side.cast("int").alias("side"), F.floor((side - width) / 2).cast("int").alias("left"), F.floor((side - height) / 2).cast("int").alias("top"))

@@ -215,3 +215,8 @@ def continued(prefix: Column, continuation: Column) -> Column:
 def extraction_prompt(demo: str, query: Column, response: Column, suffix: str = "Extracted answer: ") -> Column:
     """The prompt that asks a model for the answer inside a response."""
     return F.concat(F.lit(demo + "\n\n"), query, F.lit("\n\n"), F.coalesce(response, F.lit("")), F.lit("\n\n" + suffix))
+
+
+def wanted_images(images: Column, many: bool) -> Column:
+    """Whether a record has more than one image, or (``many`` false) at most one; null lists have none."""
+    return (F.coalesce(F.size(images), F.lit(0)) > 1) == F.lit(many)

@@ -242,3 +242,10 @@ def preference_loss(margins: Column, nll: Column, weights: dict[str, float], alp
     }
     total = reduce(lambda a, b: a + b, (kinds[k] * w for k, w in weights.items()))
     return total if alpha is None else total + nll * alpha
+
+
+def sequence_logp(logps: Column, labels: Column, ignored: int = -100) -> Column:
+    """struct<total, mean, n> of the log-probabilities of the labels that count; the mean of none is null."""
+    kept = F.transform(F.filter(F.arrays_zip(logps.alias("p"), labels.alias("l")), lambda e: F.coalesce(e["l"] != ignored, F.lit(False))), lambda e: e["p"])
+    total = F.aggregate(kept, F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))
+    return F.struct(total.alias("total"), (total / F.when(F.size(kept) > 0, F.size(kept))).alias("mean"), F.size(kept).alias("n"))

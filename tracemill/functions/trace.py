@@ -124,3 +124,10 @@ def truncated_prefix(text: Column, ratio: float) -> Column:
     return strip(F.array_join(F.slice(words, F.lit(1), F.floor(F.size(words) * F.lit(ratio)).cast("int")), " "))
 
 
+
+
+def display_lines(text: Column) -> Column:
+    """A trace as numbered lines for reading: name, thought and reflection of each step; '' without steps."""
+    part = lambda label, c: F.when(c.isNotNull() & (c != ""), F.concat(F.lit(f"   {label}: "), c))
+    lines = lambda s, i: F.array_join(F.array(F.concat((i + 1).cast("string"), F.lit(". "), F.coalesce(s["name"], F.lit(""))), part("thought", s["thought"]), part("reflection", s["reflection"])), "\n")
+    return F.coalesce(F.array_join(F.transform(parse_steps(text), lines), "\n"), F.lit(""))

@@ -55,10 +55,13 @@ def join_gold(predictions: DataFrame, gold: DataFrame, key: str, strict: bool =
     return joined.where(checked.isNull()).drop("__g")
 
 
-def gain(scores: DataFrame, baseline: DataFrame, keys: list[str], score: str = "acc") -> DataFrame:
-    """Scores with the baseline of their keys and the difference, rounded to two places."""
-    joined = scores.join(baseline.select(*keys, F.col(score).alias("baseline")), keys)
-    return joined.withColumn("gain", F.round(F.col(score) - F.col("baseline"), 2))
+def gain(scores: DataFrame, baseline: DataFrame, keys: list[str], score: str = "acc", strict: bool = False) -> DataFrame:
+    """Scores with the baseline of their keys and the difference, rounded to two places; ``strict`` raises where a baseline is missing."""
+    known = baseline.select(*keys, F.col(score).alias("baseline"), F.lit(True).alias("__b"))
+    joined = scores.join(known, keys, "left" if strict else "inner")
+    if strict:
+        joined = joined.where(F.assert_true(F.coalesce("__b", F.lit(False)), F.lit("a score has no baseline")).isNull())
+    return joined.drop("__b").withColumn("gain", F.round(F.col(score) - F.col("baseline"), 2))
 
 
 def vote_counts(answers: DataFrame, key: str, answer: str) -> DataFrame:
@@ -142,10 +145,11 @@ def align_by_category(outputs: DataFrame, answers: DataFrame, key: str, categori
     if categories is not None:
         shared = shared.where(F.col("category").isin(categories))
     found = o.join(shared, "category", "left_semi").join(a.drop("category").withColumn("__there", F.lit(True)), key, "left")
-    if strict:
-        checked = F.assert_true(F.coalesce("__there", F.lit(False)), F.concat(F.lit("no answer for "), key))
-        found = found.where(checked.isNull())
-    return found.where("__there").drop("__there")
+    if not strict:
+        return found.where("__there").drop("__there")
+    # no second filter may stand beside the check, or it would decide first
+    checked = F.assert_true(F.coalesce("__there", F.lit(False)), F.concat(F.lit("no answer for "), key))
+    return found.where(checked.isNull()).drop("__there")
 
 
 def full_denominator(scored: DataFrame, gold: DataFrame, key: str, score: str, excluded: list | None = None) -> DataFrame:

@@ -8,12 +8,14 @@ so a seeded one makes the search repeatable.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from tracemill.functions.scores import LOGIC, VISUAL
 from tracemill.providers import HashSteps, Provider
 
 
@@ -37,12 +39,19 @@ def _augmented(vector: list[float], ideal: list[float], rho: float) -> float:
     return -max(gaps) - rho * sum(gaps)
 
 
+_FIGURES = re.compile(r"\d|=|\+|-|\*|/|°|angle")
+
+
 def step_vector(text: str) -> list[float]:
-    """Three dimensions of a step by simple rules, each in 0 to 1: names a figure, draws a conclusion, is short."""
-    low = text.lower()
-    figure = any(w in low for w in ("figure", "chart", "table", "graph"))
-    conclusion = any(w in low for w in ("because", "therefore", "since", "so "))
-    return [6 / 9 if figure else 4 / 9, 6 / 9 if conclusion else 4.5 / 9, 7 / 9 if len(text.split()) <= 8 else 5 / 9]
+    """The usual five dimensions of a step as 0 to 1, by the rules of ``scores.heuristic_scores``, for one text in a task."""
+    bare, low = text.strip(), text.strip().lower()
+    count = max(1, len(bare.split()))
+    if not bare or "i don't know" in low or "cannot" in low:
+        raw = [3.0] * 5
+    else:
+        correct = 6.5 if _FIGURES.search(low) else 5.5
+        raw = [7.0 if any(w in low for w in VISUAL) else 5.0, 7.0 if any(w in low for w in LOGIC) else 5.5, correct, correct, 8.0 if count <= 80 else 6.0 if count <= 180 else 4.0]
+    return [(x - 1) / 9 for x in raw]
 
 
 def is_terminal(text: str) -> bool:

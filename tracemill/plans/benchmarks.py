@@ -334,3 +334,46 @@ def leaf_clusters(spark, d):
     labels = _labels(spark, d)
     support = H.category_support(labels, "category", "judgment_id")
     return H.leaf_clusters(QUERIES["birch_leaves"](spark, d), H.category_cosine(labels, "category", "judgment_id"), support, "category", 0.2)
+
+
+@query("sequence_logp", f"{ctes('k')}, z AS (SELECT sample_id, list_sum(list_transform(list_filter(input_ids, lambda x: x % 3 <> 0), lambda x: -(x % 7) / 10.0::DOUBLE)) AS total, len(list_filter(input_ids, lambda x: x % 3 <> 0)) AS n FROM k WHERE input_ids IS NOT NULL) SELECT sample_id, round(coalesce(total, 0), 4)::DOUBLE AS total, round(total / n, 5)::DOUBLE AS mean, CAST(n AS INTEGER) AS n FROM z")
+def sequence_logp(spark, d):
+    from tracemill.session import records
+
+    k = records(table(spark, d, "packing_sample"), "sample_id", "input_ids").where("input_ids IS NOT NULL")
+    logps = F.transform("input_ids", lambda x: -(x % 7) / F.lit(10.0))
+    labels = F.transform("input_ids", lambda x: F.when(x % 3 == 0, M.IGNORED).otherwise(x))
+    out = k.select("sample_id", S.sequence_logp(logps, labels).alias("x"))
+    return out.select("sample_id", F.round("x.total", 4).alias("total"), F.round("x.mean", 5).alias("mean"), "x.n")
+
+
+@query("square_box", "SELECT doc_id, CAST(greatest(n_chars + 1, 300 + doc_id % 700) AS INTEGER) AS side, CAST((greatest(n_chars + 1, 300 + doc_id % 700) - (n_chars + 1)) // 2 AS INTEGER) AS \"left\", CAST((greatest(n_chars + 1, 300 + doc_id % 700) - (300 + doc_id % 700)) // 2 AS INTEGER) AS top FROM documents WHERE n_chars IS NOT NULL")
+def square_box(spark, d):
+    docs = table(spark, d, "documents").where("n_chars IS NOT NULL")
+    return docs.select("doc_id", V.square_box(F.col("n_chars") + 1, 300 + F.col("doc_id") % 700).alias("b")).select("doc_id", "b.*")
+
+
+@query("single_image_filter", f"{ctes('p')} SELECT pair_id FROM p WHERE coalesce(len(image), 0) <= 1")
+def single_image_filter(spark, d):
+    return pairs(spark, d, "image").where(I.wanted_images(F.col("image"), False)).select("pair_id")
+
+
+@query("strict_gain", "WITH s AS (SELECT DISTINCT ON (response_id) * FROM sampled_response), a AS (SELECT ds_name, round(avg(is_correct), 6) AS acc FROM s WHERE is_correct IS NOT NULL GROUP BY ds_name) SELECT ds_name, acc, 0.25 AS baseline, round(acc - 0.25, 2) AS gain FROM a")
+def strict_gain(spark, d):
+    r = responses(spark, d, "ds_name", "is_correct").where("is_correct IS NOT NULL")
+    scores = r.groupBy("ds_name").agg(F.round(F.avg("is_correct"), 6).alias("acc"))
+    return E.gain(scores, r.select("ds_name").distinct().withColumn("acc", F.lit(0.25)), ["ds_name"], strict=True)
+
+
+@query("text_exact_accuracy", f"{ctes('s')}, m AS (SELECT CAST(answer_pred = answer OR answer_pred = coalesce(question_orig, '') AS INTEGER) AS m FROM s WHERE answer_pred IS NOT NULL) SELECT count(*) AS n, round(avg(m), 6)::DOUBLE AS acc FROM m")
+def text_exact_accuracy(spark, d):
+    r = responses(spark, d, "answer_pred", "answer", "question_orig").where("answer_pred IS NOT NULL")
+    score = E.best_annotation(lambda a: F.col("answer_pred") == a, F.array("answer", F.coalesce("question_orig", F.lit(""))))
+    return r.agg(F.count("*").alias("n"), F.round(F.avg(score), 6).alias("acc"))
+
+
+@query("trace_lines")
+def trace_lines(spark, d):
+    from tracemill.functions.trace import display_lines
+
+    return pairs(spark, d, "chosen").select("pair_id", display_lines(F.col("chosen")).alias("lines"))

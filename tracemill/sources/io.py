@@ -58,6 +58,10 @@ def image_list(df: DataFrame, names: tuple[str, ...] = IMAGE_ALIASES) -> Column:
             parts.append(F.coalesce(many, F.when(c != "", F.array(c))))
         elif kind == "array<string>":
             parts.append(c)
+        elif kind.startswith("array<struct"):
+            names_inside = [f for f in ("url", "path") if f"{f}:string" in kind]
+            if names_inside:
+                parts.append(F.transform(c, lambda x: present(*(x[f] for f in names_inside))))  # noqa: B023
         elif kind.startswith("struct"):
             there = [c[f] for f in ("url", "path") if f"{f}:string" in kind]
             parts.append(F.array(present(*there)) if there else F.lit(None).cast("array<string>"))
@@ -243,3 +247,28 @@ def valid_or_logged(df: DataFrame, valid: Column, reason: Column) -> tuple[DataF
     """(rows that are valid, the others with the reason); no row is replaced by another."""
     ok = F.coalesce(valid, F.lit(False))
     return df.where(ok), df.where(~ok).withColumn("reason", reason)
+
+
+def write_items(df: DataFrame, path: str, questions_only: bool = False, keys: tuple[str, ...] = ("image", "question", "answer"), mode: str = "error") -> None:
+    """All records as JSON lines, or their different questions only."""
+    write_jsonl(df.select(*keys).distinct() if questions_only else df, path, mode)
+
+
+def nested_tree(rows: list[tuple[str, str | None, float, int]]) -> dict:
+    """Adjacency rows (name, parent, distance, size) of one bounded tree as nested {name, distance, size, children}; a ValueError if there is not one root."""
+    nodes = {name: {"name": name, "distance": distance, "size": size, "children": []} for name, _, distance, size in rows}
+    roots = [nodes[name] for name, parent, *_ in rows if parent is None]
+    if len(roots) != 1:
+        raise ValueError(f"{len(roots)} roots")
+    for name, parent, *_ in rows:
+        if parent is not None:
+            nodes[parent]["children"].append(nodes[name])
+    return roots[0]
+
+
+def write_tree(rows: list[tuple[str, str | None, float, int]], path: str) -> None:
+    """A tree as one JSON file, written by the driver."""
+    import json
+
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(nested_tree(rows), f, ensure_ascii=False, indent=2)
