@@ -110,7 +110,7 @@ def bleu4(df: DataFrame, key: str, candidate: Column, reference: Column) -> Data
     logs = orders.where("hits > 0").groupBy(key).agg(F.sum(F.ln(F.col("hits") / F.col("all")) / 4).alias("logs"), F.count("*").alias("found"))
     brevity = F.when(F.col("nc") >= F.col("nr"), 0.0).otherwise(1 - F.col("nr") / F.when(F.col("nc") > 0, F.col("nc")))
     joined = sizes.join(logs, key, "left")
-    return joined.select(key, F.round(F.when(F.col("found") == 4, F.exp(F.col("logs") + brevity)).otherwise(0.0), 6).alias("bleu"))
+    return joined.select(key, F.when(F.col("found") == 4, F.exp(F.col("logs") + brevity)).otherwise(0.0).alias("bleu"))
 
 
 def best_annotation(score: Callable[[Column], Column], annotations: Column) -> Column:

@@ -380,4 +380,4 @@ o AS (SELECT id, string_split(gram, ':')[1] AS n, sum(least(c, r)) AS hits, sum(
 SELECT t.id AS response_id, round(CASE WHEN found = 4 THEN exp(logs + CASE WHEN len(c) >= len(r) THEN 0 ELSE 1 - len(r) / len(c) END) ELSE 0 END, 6)::DOUBLE AS bleu FROM t LEFT JOIN l ON l.id = t.id""")
 def bleu4(spark, d):
     r = responses(spark, d, "question", "question_orig").where("question_orig IS NOT NULL")
-    return E.bleu4(r, "response_id", F.col("question"), F.col("question_orig"))
+    return E.bleu4(r, "response_id", F.col("question"), F.col("question_orig")).select("response_id", F.round("bleu", 6).alias("bleu"))
