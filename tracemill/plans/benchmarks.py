@@ -142,7 +142,7 @@ def ordered_reviews(spark, d):
     return j.select("judgment_id", F.array_join(F.transform(ordered, lambda r: F.coalesce(r["step_index"].cast("string"), F.lit("-"))), ",").alias("places"))
 
 
-@query("first_criteria", f"{_REVIEWED} SELECT judgment_id, array_to_string(list_transform(list_filter(list_zip(good, range(1, len(good) + 1)), lambda z: list_position(good, z[1]) = z[2]), lambda z: z[1])[1:5], '|') AS criteria FROM g")
+@query("first_criteria", f"{_REVIEWED}, n AS (SELECT judgment_id, list_filter(good, lambda x: x IS NOT NULL) AS good FROM g) SELECT judgment_id, array_to_string(list_transform(list_filter(list_zip(good, range(1, len(good) + 1)), lambda z: list_position(good, z[1]) = z[2]), lambda z: z[1])[1:5], '|') AS criteria FROM n")
 def first_criteria(spark, d):
     return _by_id(spark, d).select("judgment_id", F.array_join(R.first_distinct(F.filter("good", lambda x: x.isNotNull()), 5), "|").alias("criteria"))
 
